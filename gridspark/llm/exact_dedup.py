@@ -186,3 +186,16 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     points = F.char_length(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     same = tagged.join(own, mark).where((F.col(id_col) .eqNullSafe(F.col("keep_id"))) & (points == F.col("keep_points")))
     return same.dropDuplicates([mark]).select(*df.columns)
+
+
+#: :func:`dedup` over ``documents`` as DuckDB SQL.
+SQL = r"""
+WITH t AS (
+  SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS body FROM documents
+), k AS (
+  SELECT *, first_value(doc_id) OVER (PARTITION BY body ORDER BY points DESC, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS keep_id,
+         count(*) OVER (PARTITION BY body) AS group_size
+  FROM t
+)
+SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(body) AS text_sha256 FROM k
+"""

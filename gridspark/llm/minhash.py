@@ -206,6 +206,11 @@ def at_least_85(common: int, union: int) -> bool:
     return 100 * common >= 85 * union
 
 
+def at_least_80(common: int, union: int) -> bool:
+    """A Jaccard similarity of 0.8 or more, in integers."""
+    return 100 * common >= 80 * union
+
+
 def near_duplicates(
     df: DataFrame, size: int = 3, linked: Callable[[int, int], bool] = at_least_85, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:

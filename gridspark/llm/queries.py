@@ -4,37 +4,74 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, minhash, wavelet
+from . import bpe, exact_dedup, langid, license_scan, minhash, mixing, quality_model, quality_rules, secret_scan, wavelet
 from .common import documents
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer file."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digest(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
+    return bpe.digest(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+
+
+def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.secrets(documents(spark, sf_dir)))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(documents(spark, sf_dir))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.licenses(documents(spark, sf_dir)))
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op8_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wavelet.round_trip(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), end_id=2)
+    return wavelet.round_trip(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), end_id=2)
+
+
+def domain(source: Column) -> Column:
+    """A domain for a source: the first hexadecimal digit of its MD5 modulo 4."""
+    return F.concat(F.lit("domain"), (F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(source.cast("binary")), 1, 1)) % 4).cast("string"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """60 % of the corpus's tokens, domains 4:3:2:1, languages and sources alike, up to three epochs."""
+    docs = documents(spark, sf_dir).withColumn("domain", domain(F.col("source")))
+    weights = spark.sql("SELECT * FROM VALUES ('domain0', 4), ('domain1', 3), ('domain2', 2), ('domain3', 1) AS t(domain, weight)")
+    return mixing.Mix(docs, ["domain", "lang", "source"], budget_ratio=0.6, weights={"domain": weights}, max_epochs=3).documents()
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(documents(spark, sf_dir))
 
 
+ALL = (op1_bpe, op2_quality_model, op3_minhash, op4_secrets, op5_quality_rules, op6_licenses, op7_langid, op8_wavelet, op9_mixing, op10_exact_dedup)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_minhash, op8_wavelet, op10_exact_dedup)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_quality_rules": quality_rules.SQL, "op10_exact_dedup": exact_dedup.SQL}
