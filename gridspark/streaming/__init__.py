@@ -1,0 +1 @@
+"""Nothing yet: arrays are bounded and dense, so no operator reads an unbounded source."""
