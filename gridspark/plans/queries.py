@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+from ..blocks import BlockGrid
 from ..functions import elem, vector
 from ..grid import Grid
 from ..operators import flow, load, stencil, walk
 from ..sources import generate as gen
-from . import recipes
+from . import planes, recipes
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -506,6 +507,21 @@ def convolve_slices(s, d):
     return _parts(stencil.convolve_slices(stencil.dim1("1 2 1"), 3, vec(s, d)))
 
 
+# Planes in blocks
+
+
+@query(_stencil_sql("qd", "50", "11", _SX))
+def blocks_convolve(s, d):
+    plane = BlockGrid.of(qd(s, d), lines=8)
+    return flow.dmap(lambda v: v.cast("long"), plane.convolve([stencil.dim2(recipes.SOBEL_X)]).cells()).df
+
+
+@query("SELECT CAST(k AS BIGINT) AS i0, coalesce(n, 0) AS v FROM range(256) t(k) LEFT JOIN (SELECT v % 256 AS b, count(*) AS n FROM dh GROUP BY 1) ON b = k")
+def blocks_histogram(s, d):
+    counts = BlockGrid.of(flow.dmap(lambda v: v % 256, dh(s, d)), lines=7).histogram(256, 1.0)
+    return gen.from_list(s, 256, counts.tolist(), "bigint").df
+
+
 # Loads
 
 
@@ -594,6 +610,16 @@ def canny(s, d):
     return recipes.canny(image(s, d), 20, 60).df
 
 
+def _channels(g: Grid) -> list[BlockGrid]:
+    return [BlockGrid.of(c, lines=16) for c in g.slices(3)]
+
+
+@query(None)
+def blocks_edges(s, d):
+    marks = planes.edges(*_channels(image(s, d)), 20, 60).cells()
+    return flow.dmap(lambda v: v.cast("int"), marks).df
+
+
 _EDGES = "SELECT i0, i1, CASE WHEN (i0 * 7 + i1 * 13 + v) % 11 = 0 THEN 255 WHEN (i0 * 7 + i1 * 13 + v) % 3 = 0 THEN 128 ELSE 0 END AS v FROM qd"
 
 
