@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 from array import array
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -97,6 +98,14 @@ class TreeEncoder:
             k *= 2
 
 
+def kept_table(key: tuple, make: Callable[[], Any]) -> Any:
+    """A table that a Python worker keeps from task to task; functions travel by value, so no module of ours can hold it."""
+    held = sys.__dict__.setdefault("_gridspark_tables", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def byte_alphabet() -> dict[int, str]:
     """Byte -> character of byte-level BPE: printable bytes stand for themselves, the rest follow from U+0100."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -167,24 +176,31 @@ BYTE_LEVEL_PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: ASCII that the byte-level cuts on whole batches do not handle, and the lead bytes of white space beyond ASCII.
-ODD_BYTE = np.zeros(256, bool)
-ODD_BYTE[[9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: What a byte is, as flags: white space, a letter, ASCII that is no letter, a byte that the cuts on whole batches do not handle, the lead byte of U+00C0 to U+00FF.
+SPACE, LETTER, OTHER, ODD, LEAD = 1, 2, 4, 8, 16
+
 
+def _flags() -> bytes:
+    out = bytearray(256)
+    for b in range(128):
+        out[b] = LETTER if chr(b).isalpha() else OTHER
+    for b in b"\t\n\x0b\x0c\r ":
+        out[b] |= SPACE
+    for b in (9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xC3, 0xE1, 0xE2, 0xE3):
+        out[b] |= ODD
+    out[0xC3] |= LEAD
+    return bytes(out)
 
-#: Classes of bytes: ASCII that is no letter, letters of ASCII, and the rest, of which U+00C0 to U+00FF are told apart by two bytes.
-OTHER, LETTER, REST = 0, 1, 2
 
+FLAGS = _flags()
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
-def classes(data: np.ndarray) -> np.ndarray:
-    """The class of each byte; both bytes of a Latin-1 letter count as letters."""
-    kind = np.full(256, REST, np.uint8)
-    kind[:128] = OTHER
-    kind[65:91] = kind[97:123] = LETTER
-    got = kind[data]
-    lead = np.flatnonzero(data[:-1] == 0xC3)
+
+def flags(data: np.ndarray) -> np.ndarray:
+    """The flags of each byte; both bytes of a Latin-1 letter count as letters."""
+    got = np.frombuffer(bytearray(data.tobytes().translate(FLAGS)), np.uint8)
+    lead = np.flatnonzero(got & LEAD)
+    lead = lead[lead + 1 < len(data)]
     lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
     got[lead] = got[lead + 1] = LETTER
     return got
@@ -192,9 +208,7 @@ def classes(data: np.ndarray) -> np.ndarray:
 
 def lowered(data: np.ndarray) -> np.ndarray:
     """Lower case for letters of ASCII and Latin-1, in place of the library's for the same letters."""
-    table = np.arange(256, dtype=np.uint8)
-    table[65:91] += 32
-    out = table[data]
+    out = np.frombuffer(bytearray(data.tobytes().translate(LOWER)), np.uint8)
     lead = np.flatnonzero(data[:-1] == 0xC3) + 1
     lead = lead[(data[lead] >= 0x80) & (data[lead] <= 0x9E) & (data[lead] != 0x97)]
     out[lead] += 32
@@ -210,17 +224,18 @@ def starts_of_pieces(data: np.ndarray, offsets: np.ndarray, kind: str, special:
     white space beyond blanks and line ends, are cut one by one.
     """
     full = offsets[:-1] < offsets[1:]
-    prev = np.concatenate(([0], data[:-1])).astype(np.uint8)
-    cls = classes(data)
-    was = np.concatenate(([REST], cls[:-1])).astype(np.uint8)
-    space = SPACE[data]
-    start = space | (SPACE[prev] & (prev != 32))
-    start |= (was == LETTER) & (cls == OTHER)
-    start |= (was == OTHER) & (cls == LETTER) & (prev != 32) & (prev != 39)
+    is_ = flags(data)
+    space, letter, other = is_ & SPACE, is_ & LETTER, is_ & OTHER
+    start = space.copy()
+    start[1:] |= space[:-1] & (data[:-1] != 32)
+    start[1:] |= letter[:-1] & (other[1:] >> 1)
+    start[1:] |= letter[1:] & (other[:-1] >> 1) & ((data[:-1] != 32) & (data[:-1] != 39)) * np.uint8(LETTER)
+    start = start.astype(bool)
     start[offsets[:-1][full]] = True
     hits: set[int] = set()
     if kind == "byte":
-        odd = ODD_BYTE[data] & (cls != LETTER) | (space & SPACE[prev])
+        odd = is_ & ODD
+        odd[1:] |= space[1:] & space[:-1]
         hits.update(np.unique(np.searchsorted(offsets, np.flatnonzero(odd), side="right") - 1).tolist())
     for s in special:
         whole = data.tobytes()
@@ -261,7 +276,7 @@ def pieces_of_batch(texts: pa.Array, kind: str, special: list[str]) -> tuple[lis
     distinct = coded.dictionary
     ends = np.frombuffer(distinct.buffers()[1], np.int32)[: len(distinct) + 1]
     data = np.frombuffer(distinct.buffers()[2], np.uint8)[: ends[-1]]
-    letters = np.add.reduceat(classes(data) == LETTER, ends[:-1], dtype=np.int32)
+    letters = np.add.reduceat(flags(data) == LETTER, ends[:-1], dtype=np.int32)
     size = ends[1:] - ends[:-1] - (data[ends[:-1]] == 32)
     return distinct.to_pylist(), (letters == size) & (size > 0), coded.indices.to_numpy(zero_copy_only=False), at
 
@@ -330,9 +345,13 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     _decoder(path)
 
     def work():
-        table = Pieces(path, lambda ids: (len(ids), "".join([digits[i] for i in ids]), "".join([tokens[i] for i in ids])))
-        most = table.tok.get_vocab_size(with_added_tokens=True)
-        digits, tokens = [f"{i} " for i in range(most)], [f"{table.tok.id_to_token(i)} " for i in range(most)]
+        def new() -> Pieces:
+            table = Pieces(path, lambda ids: (len(ids), "".join([digits[i] for i in ids]), "".join([tokens[i] for i in ids])))
+            most = table.most_id + 1
+            digits, tokens = [f"{i} " for i in range(most)], [f"{table.tok.id_to_token(i)} " for i in range(most)]
+            return table
+
+        table = kept_table((path, "shown"), new)
 
         def of(texts: pa.Array) -> list[pa.Array]:
             distinct, plain, codes, at = pieces_of_batch(texts, kind, table.special)
@@ -369,7 +388,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     kind = _kind(path)
 
     def work():
-        table = Pieces(path, packed)
+        table = kept_table((path, "ids"), lambda: Pieces(path, packed))
 
         def of(texts: pa.Array) -> list[pa.Array]:
             ids, n = ids_of_batch(table, texts, kind)

@@ -10,12 +10,16 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The whitespace of the word definition ``[^\x20\x09-\x0D]+``, as a regex class body.
 WS = r"\x20\x09-\x0D"
 #: Rows and bytes that one Arrow batch may carry, so that a run of long texts stays small.
 BATCH_ROWS, BATCH_BYTES = 8000, 32 << 20
 
+#: Rows of ids that are broadcast rather than have all texts shuffled to them.
+LIGHT = 1_000_000
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Bounds the Arrow batches of this session (texts are large rows)."""
@@ -77,6 +81,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def light(ids: DataFrame) -> DataFrame:
+    """A written table of ids, marked for broadcast if its rows are counted to be at most ``LIGHT``; else texts are shuffled to it."""
+    return F.broadcast(ids) if ids.count() <= LIGHT else ids
+
+
 def map_rows(
     df: DataFrame,
     make: Callable[[], Callable[[dict[str, list]], Iterator[dict[str, list]]]],

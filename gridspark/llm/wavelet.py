@@ -27,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import SLICE, Pieces, ids_of_batch, packed
+from .bpe import SLICE, Pieces, ids_of_batch, kept_table, packed
 from .common import tune, work_path, written
 
 MAGIC = b"GSWM0001"
 #: Bits of a plane in one block; ids of a shard (a document is never divided).
 BLOCK, SHARD = 1 << 18, 1 << 22
+#: Ids that are moved together.
+STEP = 1 << 16
 
 
 def _put(out: list[bytes], raw: bytes, level: int = 1) -> None:
@@ -62,10 +64,22 @@ def build(ids: np.ndarray, doc_ids: list[int | None], sizes: np.ndarray) -> byte
         before = np.cumsum(counts) - counts
         _put(out, struct.pack("<q", len(one) - int(counts.sum())) + np.array([[len(b) for b in blocks], before], "<i8").tobytes())
         out += blocks
-        cur = np.concatenate((cur[np.flatnonzero(~one)], cur[np.flatnonzero(one)]))  # places: four times as fast as a mask
+        cur = _dealt(cur, one, len(one) - int(counts.sum()))
     return b"".join(out)
 
 
+def _dealt(cur: np.ndarray, one: np.ndarray, zeros: int) -> np.ndarray:
+    """The ids with a zero bit, then those with a one, in order; in steps that stay in cache, and by places, which is faster than by masks."""
+    out = np.empty_like(cur)
+    z, o = 0, zeros
+    for i in range(0, len(cur), STEP):
+        part, bits = cur[i : i + STEP], one[i : i + STEP]
+        a, b = np.flatnonzero(~bits), np.flatnonzero(bits)
+        out[z : z + len(a)], out[o : o + len(b)] = part[a], part[b]
+        z, o = z + len(a), o + len(b)
+    return out
+
+
 class WaveletFile:
     """Reads a shard's file; blocks are decompressed when asked for."""
 
@@ -164,8 +178,12 @@ class WaveletFile:
             one = np.concatenate([self._bits(row, k) for k in range(len(self.before[row]))]) if self.n else np.zeros(0, bool)
             out = np.empty_like(cur)
             zeros = self.zeros[row]
-            out[np.flatnonzero(~one)] = cur[:zeros]
-            out[np.flatnonzero(one)] = cur[zeros:] | kind(1 << (self.levels - 1 - row))
+            z, o, bit = 0, zeros, kind(1 << (self.levels - 1 - row))
+            for i in range(0, self.n, STEP):
+                part, bits = out[i : i + STEP], one[i : i + STEP]
+                a, b = np.flatnonzero(~bits), np.flatnonzero(bits)
+                part[a], part[b] = cur[z : z + len(a)], cur[o : o + len(b)] | bit
+                z, o = z + len(a), o + len(b)
             cur = out
         return cur
 
@@ -194,7 +212,7 @@ def write_shards(df: DataFrame, path: str, folder: str, end_id: int, shards: int
 
         task = TaskContext.get()
         part, seq, held, n = task.partitionId(), 0, [], 0
-        table = Pieces(path, packed, most=1_000_000)
+        table = kept_table((path, "ids"), lambda: Pieces(path, packed))
         store, top = _files(folder)
 
         def flush() -> pa.RecordBatch:
@@ -208,8 +226,8 @@ def write_shards(df: DataFrame, path: str, folder: str, end_id: int, shards: int
 
         store.create_dir(top, recursive=True)
         for batch in batches:
-            for i in range(0, batch.num_rows, SLICE // 4):
-                one = batch.slice(i, SLICE // 4)
+            for i in range(0, batch.num_rows, SLICE):
+                one = batch.slice(i, SLICE)
                 ids, sizes = ids_of_batch(table, one.column(1), table.kind)
                 ends = np.cumsum(sizes)
                 whole = np.insert(ids.astype(np.uint16 if table.most_id < 65536 else np.uint32), ends, end_id)
