@@ -73,5 +73,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in ALL}
 
 
+def _fill(nodes: str, parent: str, name: str) -> str:
+    """SQL for :func:`gridspark.llm.mixing.shares` over rows with cap, w and budget."""
+    order = f"PARTITION BY {parent} ORDER BY cap / w, {name}"
+    return f"""
+  SELECT * EXCLUDE (r, before, rest, level, cut), CASE WHEN cut IS NULL THEN cap ELSE greatest(0, least(cap, cut * w)) END AS share FROM (
+    SELECT *, arg_min(level, row(r, {name})) FILTER (WHERE r > level) OVER (PARTITION BY {parent}) AS cut FROM (
+      SELECT *, (budget - before) / rest AS level FROM (
+        SELECT *, cap / w AS r, coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+               sum(w) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM ({nodes}))))"""
+
+
+_DOMAINS = _fill("SELECT domain, CAST(sum(3 * tokens) AS DOUBLE) AS cap, CAST(any_value(w) AS DOUBLE) AS w, any_value(b) AS budget FROM leaf JOIN (VALUES ('domain0', 4), ('domain1', 3), ('domain2', 2), ('domain3', 1)) t(domain, w) USING (domain) CROSS JOIN total GROUP BY domain", "1", "domain")
+_LANGS = _fill("SELECT domain, lang, CAST(sum(3 * tokens) AS DOUBLE) AS cap, CAST(1 AS DOUBLE) AS w, any_value(share) AS budget FROM leaf JOIN domains USING (domain) GROUP BY domain, lang", "domain", "lang")
+_SOURCES = _fill("SELECT domain, lang, source, tokens, CAST(3 * tokens AS DOUBLE) AS cap, CAST(1 AS DOUBLE) AS w, share AS budget FROM leaf JOIN (SELECT domain, lang, share FROM langs) USING (domain, lang)", "domain, lang", "source")
+#: :func:`op9_mixing` as DuckDB SQL.
+MIXING_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, lang, source, 'domain' || (instr('0123456789abcdef', substr(md5(source), 1, 1)) % 4) AS domain,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n FROM documents
+), leaf AS (SELECT domain, lang, source, CAST(sum(n) AS BIGINT) AS tokens FROM d GROUP BY ALL
+), total AS (SELECT CAST(0.6 AS DOUBLE) * CAST(sum(tokens) AS DOUBLE) AS b FROM leaf
+), domains AS ({_DOMAINS}
+), langs AS ({_LANGS}
+), sources AS ({_SOURCES}
+), given AS (
+  SELECT domain, lang, source, tokens, CAST(floor(share) AS BIGINT) AS given, CASE WHEN tokens > 0 THEN CAST(floor(share) AS BIGINT) // tokens ELSE 0 END AS epochs FROM sources
+), placed AS (
+  SELECT *, coalesce(sum(n) OVER (PARTITION BY domain, lang, source ORDER BY md5('0:' || epochs || ':' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN given USING (domain, lang, source)
+), taken AS (SELECT *, epochs + CASE WHEN before < given - epochs * tokens THEN 1 ELSE 0 END AS copies FROM placed)
+SELECT doc_id, domain, lang, source, n AS n_tokens, tokens AS leaf_tokens, given AS leaf_budget, CAST(copies AS BIGINT) AS copies FROM taken WHERE copies > 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality_rules.SQL, "op10_exact_dedup": exact_dedup.SQL}
+    return {"op3_minhash": minhash.SQL, "op5_quality_rules": quality_rules.SQL, "op9_mixing": MIXING_SQL, "op10_exact_dedup": exact_dedup.SQL}
