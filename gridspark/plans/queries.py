@@ -431,12 +431,12 @@ def scan(s, d):
 # Stencils
 
 
-def _stencil_sql(table: str, h: str, w: str, rows: list[list[int]], agg: str = "sum(k.c * s.v)") -> str:
+def _stencil_sql(table: str, h: str, w: str, rows: list[list[int]], agg: str = "sum(k.c * s.v)", kind: str = "BIGINT") -> str:
     """The clamped stencil by a gather of every tap."""
     (y0, _), (x0, _) = stencil.offsets(len(rows)), stencil.offsets(len(rows[0]))
     taps = ", ".join(f"({y0 + y}, {x0 + x}, {c})" for y, row in enumerate(rows) for x, c in enumerate(row))
     return (
-        f"SELECT g.i0, g.i1, CAST({agg} AS BIGINT) AS v FROM {table} g CROSS JOIN (VALUES {taps}) k(dy, dx, c) "
+        f"SELECT g.i0, g.i1, CAST({agg} AS {kind}) AS v FROM {table} g CROSS JOIN (VALUES {taps}) k(dy, dx, c) "
         f"JOIN {table} s ON s.i0 = greatest(0, least({h} - 1, g.i0 + k.dy)) AND s.i1 = greatest(0, least({w} - 1, g.i1 + k.dx)) GROUP BY g.i0, g.i1"
     )
 
@@ -448,6 +448,7 @@ def _line_sql(row: list[int]) -> str:
 
 
 _SX = [[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]]
+_SY = [[1, 2, 1], [0, 0, 0], [-1, -2, -1]]
 _B5 = [[2, 4, 5, 4, 2], [4, 9, 12, 9, 4], [5, 12, 15, 12, 5], [4, 9, 12, 9, 4], [2, 4, 5, 4, 2]]
 
 
@@ -567,9 +568,6 @@ def vector_fold(s, d):
 
 # Pipelines
 
-_IMG = "(SELECT i0, i1, (v * 7) % 256 AS r, (v * 13 + i0) % 256 AS g, (v * 29 + i1) % 256 AS b FROM qd)"
-
-
 def image(s: SparkSession, d: str) -> Grid:
     """The quantity and discount grid in colours of 0..255."""
     return flow.imap(lambda y, x, v: vector.vec((v * 7) % 256, (v * 13 + y) % 256, (v * 29 + x) % 256), qd(s, d))
@@ -597,37 +595,70 @@ def blur_separable(s, d):
     return recipes.blur_separable(g).df
 
 
-_SY = [[1, 2, 1], [0, 0, 0], [-1, -2, -1]]
-
-
 @query("SELECT x.i0, x.i1, CAST(CAST(trunc(sqrt(CAST(x.v * x.v + y.v * y.v AS DOUBLE))) AS BIGINT) & 255 AS INTEGER) AS v FROM (" + _stencil_sql("qd", "50", "11", _SX) + ") x JOIN (" + _stencil_sql("qd", "50", "11", _SY) + ") y ON x.i0 = y.i0 AND x.i1 = y.i1")
 def gradient_magnitude(s, d):
     return recipes.gradient(qd(s, d), 0).df.select("i0", "i1", F.col("v.mag").alias("v"))
 
 
-@query(None)
+def _marks_sql(low: int, high: int) -> str:
+    """Clauses up to weak and strong edges of the image: lum, bl, gr, marks."""
+    outer = [[a * b for a in (1, 4, 6, 4, 1)] for b in (1, 4, 6, 4, 1)]
+    near = {"a": "CASE o WHEN 255 THEN 0 WHEN 128 THEN -1 ELSE -1 END", "ax": "CASE o WHEN 255 THEN -1 WHEN 128 THEN 0 WHEN 192 THEN -1 ELSE 1 END"}
+    return (
+        "lum AS (SELECT i0, i1, CAST(trunc(0.21::DOUBLE * ((v * 7) % 256) + 0.71::DOUBLE * ((v * 13 + i0) % 256) + 0.07::DOUBLE * ((v * 29 + i1) % 256)) AS BIGINT) & 255 AS v FROM qd), "
+        f"bl AS (SELECT i0, i1, v / 256.0::DOUBLE AS v FROM ({_stencil_sql('lum', '50', '11', outer)})), "
+        f"gr AS (SELECT i0, i1, m, CASE WHEN m < {low} THEN 0 WHEN x = 0 THEN CASE WHEN y < 0 THEN 192 ELSE 64 END WHEN t < 0.33 THEN 255 WHEN t > 0.66 THEN 128 WHEN q < 0 THEN 192 ELSE 64 END AS o FROM ("
+        "SELECT *, (b + r * r) / (1.0::DOUBLE + b + (b + r * r)) AS t FROM (SELECT *, 0.596227::DOUBLE * r AS b FROM (SELECT *, abs(q) AS r FROM ("
+        "SELECT gx.i0, gx.i1, gx.v AS x, gy.v AS y, CAST(trunc(sqrt(gx.v * gx.v + gy.v * gy.v)) AS BIGINT) & 255 AS m, CASE WHEN gx.v = 0 THEN NULL ELSE gy.v / gx.v END AS q FROM "
+        f"({_stencil_sql('bl', '50', '11', _SX, kind='DOUBLE')}) gx JOIN ({_stencil_sql('bl', '50', '11', _SY, kind='DOUBLE')}) gy ON gx.i0 = gy.i0 AND gx.i1 = gy.i1))))), "
+        f"marks AS (SELECT g.i0, g.i1, CASE WHEN g.o <> 0 AND g.i0 BETWEEN 1 AND 48 AND g.i1 BETWEEN 1 AND 9 AND g.m > a.m AND g.m > c.m THEN CASE WHEN g.m < {high} THEN 128 ELSE 255 END ELSE 0 END AS v "
+        f"FROM (SELECT *, {near['a']} AS dy, {near['ax']} AS dx FROM gr) g LEFT JOIN gr a ON a.i0 = g.i0 + g.dy AND a.i1 = g.i1 + g.dx LEFT JOIN gr c ON c.i0 = g.i0 - g.dy AND c.i1 = g.i1 - g.dx)"
+    )
+
+
+def _fire_sql(cells: str) -> str:
+    """Cells 8-connected to a strong one within the rim, of (i0, i1, v) rows."""
+    return (
+        "SELECT g.i0, g.i1, CASE WHEN f.i0 IS NULL THEN 0 ELSE 255 END AS v FROM qd g LEFT JOIN (WITH RECURSIVE e AS (" + cells + "), "
+        "f AS (SELECT i0, i1 FROM e WHERE v = 255 AND i0 BETWEEN 1 AND 48 AND i1 BETWEEN 1 AND 9 UNION SELECT e.i0, e.i1 FROM f JOIN e ON e.v <> 0 AND abs(e.i0 - f.i0) <= 1 AND abs(e.i1 - f.i1) <= 1) "
+        "SELECT DISTINCT i0, i1 FROM f) f ON f.i0 = g.i0 AND f.i1 = g.i1"
+    )
+
+
+@query(_fire_sql("SELECT i0, i1, v FROM marks"))
 def canny(s, d):
     return recipes.canny(image(s, d), 20, 60).df
 
 
+_SQL["canny"] = "WITH " + CTES["qd"] + ", " + _marks_sql(20, 60) + " " + _fire_sql("SELECT i0, i1, v FROM marks")
+
+
+@query("")
+def suppress(s, d):
+    grey = flow.zip_elems(lambda r, g, b: elem.to_byte(recipes.luminosity(r.cast("double"), g.cast("double"), b.cast("double"))).cast("int"), 3, image(s, d))
+    return recipes.suppress(recipes.gradient(recipes.blur_separable(grey), 20), 60).df
+
+
+_SQL["suppress"] = "WITH " + CTES["qd"] + ", " + _marks_sql(20, 60) + " SELECT i0, i1, v FROM marks"
+
+
 def _channels(g: Grid) -> list[BlockGrid]:
     return [BlockGrid.of(c, lines=16) for c in g.slices(3)]
 
 
-@query(None)
+@query("")
 def blocks_edges(s, d):
     marks = planes.edges(*_channels(image(s, d)), 20, 60).cells()
     return flow.dmap(lambda v: v.cast("int"), marks).df
 
 
+_SQL["blocks_edges"] = _SQL["suppress"]
+
+
 _EDGES = "SELECT i0, i1, CASE WHEN (i0 * 7 + i1 * 13 + v) % 11 = 0 THEN 255 WHEN (i0 * 7 + i1 * 13 + v) % 3 = 0 THEN 128 ELSE 0 END AS v FROM qd"
 
 
-@query(
-    "SELECT g.i0, g.i1, CASE WHEN f.i0 IS NULL THEN 0 ELSE 255 END AS v FROM qd g LEFT JOIN (WITH RECURSIVE e AS (" + _EDGES + "), "
-    "f AS (SELECT i0, i1 FROM e WHERE v = 255 AND i0 BETWEEN 1 AND 48 AND i1 BETWEEN 1 AND 9 UNION SELECT e.i0, e.i1 FROM f JOIN e ON e.v <> 0 AND abs(e.i0 - f.i0) <= 1 AND abs(e.i1 - f.i1) <= 1) "
-    "SELECT DISTINCT i0, i1 FROM f) f ON f.i0 = g.i0 AND f.i1 = g.i1"
-)
+@query(_fire_sql(_EDGES))
 def wildfire(s, d):
     mark = lambda y, x, v: F.when((y * 7 + x * 13 + v) % 11 == 0, 255).when((y * 7 + x * 13 + v) % 3 == 0, 128).otherwise(0)
     return recipes.wildfire(flow.imap(mark, qd(s, d))).df
@@ -660,12 +691,28 @@ def equalize_lightness(s, d):
     return _parts(flow.map_elems(lambda c: F.round(c, 6), recipes.equalize_lightness(flow.map_elems(elem.normalize_byte, image(s, d)))))
 
 
-@query(None)
+_BODIES = "b0 AS (SELECT * FROM (VALUES (CAST(0 AS BIGINT), 5.9722e24::DOUBLE, 1.470983e11::DOUBLE, 0::DOUBLE, 2.694354528161541e03::DOUBLE, 3.016946927465788e04::DOUBLE), (1, 1.8986e27, -7.405736e11, 0, -1.0965244901087316e02, -1.3710001990210707e04), (2, 1.9889e30, 0, 0, 0, 0)) t(i0, m, x, y, u, w))"
+
+
+def _step_sql(n: int) -> str:
+    """Clauses that bring the bodies from step n to step n + 1: velocities, then positions with them."""
+    pull = lambda c: f"sum(CASE WHEN a.i0 = b.i0 THEN 0 ELSE -6.67384e-11::DOUBLE * a.m * b.m * (1 / ((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + 0.25)) * sqrt(1 / ((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + 0.25)) * (a.{c} - b.{c}) END)"
+    return (
+        f"v{n} AS (SELECT a.i0, a.m, a.x, a.y, a.u + {pull('x')} * 864000 / a.m AS u, a.w + {pull('y')} * 864000 / a.m AS w FROM b{n} a CROSS JOIN b{n} b GROUP BY a.i0, a.m, a.x, a.y, a.u, a.w), "
+        f"b{n + 1} AS (SELECT i0, m, x + u * 864000 AS x, y + w * 864000 AS y, u, w FROM v{n})"
+    )
+
+
+@query("")
 def planet_motion(s, d):
     masses = gen.from_list(s, 3, [5.9722e24, 1.8986e27, 1.9889e30], "double")
     places = gen.from_list(s, 3, [[1.470983e11, 0.0, 0.0], [-7.405736e11, 0.0, 0.0], [0.0, 0.0, 0.0]], "array<double>")
     speeds = gen.from_list(s, 3, [[2.694354528161541e03, 3.016946927465788e04, 0.0], [-1.0965244901087316e02, -1.3710001990210707e04, 0.0], [0.0, 0.0, 0.0]], "array<double>")
-    return _parts(recipes.motion(864000.0, 2, masses, places, speeds)[0])
+    moved = recipes.motion(864000.0, 2, masses, places, speeds)[0]
+    return _parts(flow.map_elems(lambda c: F.round(c / 100.0).cast("long"), moved), 2)
+
+
+_SQL["planet_motion"] = f"WITH {_BODIES}, {_step_sql(0)}, {_step_sql(1)} SELECT i0, CAST(round(x / 100.0) AS BIGINT) AS c0, CAST(round(y / 100.0) AS BIGINT) AS c1 FROM b2"
 
 
 @query("SELECT i0, CAST(sum(v * v) AS BIGINT) AS v FROM em GROUP BY i0")
