@@ -30,7 +30,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by near-duplicates: five-word shingles, similarity 0.8 or more."""
-    return minhash.keep_one(docs, size=5, linked=minhash.at_least_80)
+    return minhash.keep_one(docs, size=5, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,13 +4,17 @@ A document's set holds the hashes of its distinct word shingles. Under each of `
 hash functions both the smallest and the largest value are kept, so a signature of n values
 takes n / 2 hash evaluations; both agree with the probability of the Jaccard similarity. Bands
 of ``ROWS`` values are hashed into buckets: at a similarity of 0.85 a pair shares no bucket with
-a probability of 2e-8, and at most one with 6e-7.
+a probability of 2e-8.
 
 Documents with one set are a class, and only classes are compared. In every bucket the smallest
 class is the hub and is compared with the others, on full sets. Links merge classes into
-components; then pairs of classes in different components that still share two buckets are
-compared too, so a link is missed with the above probability only and copies of one thing
-never become all their pairs. Buckets, pairs and components are tables: nothing is collected.
+components. What buckets are then left with more than one component go through an exact prefix
+join: shingles are put in one order, by how often a sketch of fixed size has counted them, rare
+ones first; two sets that reach the threshold share a shingle near the start of both, at
+positions that their sizes bound. So a family of near copies that are just too different for a
+link is told apart by its rare shingles, and neither bucket nor family becomes all its pairs.
+Buckets, pairs and components are tables: only the sketch's cells, of a fixed number, and the
+components' row counts reach the driver.
 
 Defined results: a null, empty or blank text has no shingles and is linked with nothing. A text
 with fewer words than a shingle has one, its whole word sequence. Rows with one doc_id are one
@@ -20,7 +24,7 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,22 +32,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune, written
+from .common import light, tune, written
 from .components import components
 
 PERMUTATIONS, ROWS = 48, 4
 #: Bytes of text that are hashed together.
 SECTION = 2 << 20
+#: Cells of the sketch that orders shingles, as a power of two.
+CELLS = 18
 
 U = np.uint64
 _random = np.random.default_rng(20240229)
-_BYTE = _random.integers(1, 1 << 63, 256, dtype=U) | U(1)
 _BASE = U(0x9E3779B97F4A7C15)
 _PERM = _random.integers(1, 1 << 63, PERMUTATIONS, dtype=U) | U(1)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_SPACE = bytes(1 if b in b"\t\n\x0b\x0c\r " else 0 for b in range(256))
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -72,7 +75,9 @@ class Words:
 
     def hashes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The words' hashes of all texts, and the words at which texts begin (and end)."""
-        space = _SPACE[data]
+        raw = data.tobytes()
+        space = np.frombuffer(raw.translate(_SPACE), bool)
+        data = np.frombuffer(raw.translate(_LOWER), np.uint8)
         word = ~space
         first = word.copy()
         first[1:] &= space[:-1]
@@ -90,7 +95,7 @@ class Words:
             stop = max(at + 1, int(np.searchsorted(ends, starts[at] + SECTION)))
             a, b = starts[at], ends[stop - 1] + 1
             self._grow(int(b - a))
-            total = np.cumsum(_BYTE[_LOWER[data[a:b]]] * self.power[: b - a], dtype=U)
+            total = np.cumsum((data[a:b].astype(U) + U(1)) * self.power[: b - a], dtype=U)
             s, e = starts[at:stop] - a, ends[at:stop] - a
             part = total[e]
             part[1:] -= total[s[1:] - 1]
@@ -176,10 +181,10 @@ def signatures(df: DataFrame, size: int, id_col: str = "doc_id", text_col: str =
     return thin.mapInArrow(run, "id long, n long, h1 long, h2 long, bands array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, linked: Callable[[int, int], bool]) -> DataFrame:
-    """The pairs (a, b) whose full sets ``linked(intersection, union)`` accepts; ``texts`` is (id, text)."""
-    need = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    some = texts.join(need, "id", "left_semi")
+def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold; ``texts`` is (id, text)."""
+    need = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
+    some = texts.join(light(need), "id", "left_semi")
     one = pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = one.join(some.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
@@ -195,48 +200,89 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, linked: Callable[[in
                         seen = b, part.column(3)[k].as_py()
                         (b_set,) = shingle_sets(words, pa.array([seen[1]], pa.string()), size)
                     common = len(np.intersect1d(s, b_set, assume_unique=True))
-                    yes.append(common > 0 and linked(common, len(s) + len(b_set) - common))
+                    yes.append(common > 0 and 100 * common >= percent * (len(s) + len(b_set) - common))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def at_least_85(common: int, union: int) -> bool:
-    """A Jaccard similarity of 0.85 or more, in integers."""
-    return 100 * common >= 85 * union
+def sketch(nodes: DataFrame, size: int) -> np.ndarray:
+    """How often shingles fall in each of ``1 << CELLS`` cells, over all sets of ``nodes`` (text); at most a row a cell is collected."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts = Words(), np.zeros(1 << CELLS, np.int64)
+        for batch in batches:
+            for s in shingle_sets(words, batch.column(0), size):
+                np.add.at(counts, (s >> U(64 - CELLS)).astype(np.int64), 1)
+        hit = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(counts[hit])], names=["cell", "n"])
+
+    out = np.zeros(1 << CELLS, np.int64)
+    for cell, n in nodes.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n")).toLocalIterator():
+        out[cell] = n
+    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
 
-def at_least_80(common: int, union: int) -> bool:
-    """A Jaccard similarity of 0.8 or more, in integers."""
-    return 100 * common >= 80 * union
 
+def prefix_pairs(nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may reach the threshold; ``nodes`` is (node, component, text). None that does is missing.
 
-def near_duplicates(
-    df: DataFrame, size: int = 3, linked: Callable[[int, int], bool] = at_least_85, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), a row for each row of ``df``."""
+    Of two sets with sizes x and y that reach it, at least ``percent * (x + y) / (100 + percent)``
+    shingles are common, so the first common one in any order stands among the first x less that
+    number plus one of the first set, and likewise of the second. The smaller set's bound is at
+    most its own with y = x: those rows alone are looked up.
+    """
+    counted = sketch(nodes, size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                rows: list[list] = [[], [], [], [], [], []]
+                for node, comp, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), shingle_sets(words, part.column(2), size), strict=True):
+                    n = len(s)
+                    first = s[np.lexsort((s, counted[(s >> U(64 - CELLS)).astype(np.int64)]))[: n - -(-percent * n // 100) + 1]]
+                    short = n - -(-2 * percent * n // (100 + percent)) + 1
+                    for col, x in zip(rows, (first.view(np.int64), np.full(len(first), node), np.full(len(first), comp), np.full(len(first), n), np.arange(1, len(first) + 1), np.arange(len(first)) < short), strict=True):
+                        col.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in rows], names=["s", "node", "c", "n", "pos", "short"])
+
+    rows = written(nodes.select("node", "component", "text").mapInArrow(run, "s long, node long, c long, n long, pos long, short boolean"), "prefixes")
+    small = rows.where("short").select("s", *[F.col(x).alias(f"{x}2") for x in ("node", "c", "n", "pos")])
+    need = f"(({percent} * (n + n2) + {99 + percent}) div {100 + percent})"
+    fits = f"(n2 < n or (n2 = n and node2 < node)) and c <> c2 and 100 * n2 >= {percent} * n and pos <= n - {need} + 1 and pos2 <= n2 - {need} + 1"
+    met = rows.alias("r").join(small.alias("q"), (F.col("r.s") == F.col("q.s")) & F.expr(fits))
+    return met.select(F.greatest("node", "node2").alias("a"), F.least("node", "node2").alias("b")).distinct()
+
+
+def near_duplicates(df: DataFrame, size: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), a row for each row of ``df``; linked if 100 * intersection >= percent * union.
+
+    The bands' figures above hold for a ``percent`` of 85; at 80 a pair shares no bucket with a
+    probability of 3e-6.
+    """
     tune(df.sparkSession)
     signed = written(signatures(df, size, id_col, text_col), "signatures")
     full = signed.where("n > 0 and id is not null")
-    classes = full.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.first("bands").alias("bands"))
-    rows = written(classes.select("node", F.explode("bands").alias("bucket")), "buckets")
+    classes = written(full.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    rows = classes.select("node", "n", F.explode("bands").alias("bucket"))
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
-    hubs = rows.groupBy("bucket").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("last > b").select("bucket", "b")
-    pairs = rows.join(hubs, "bucket").where("node > b").select(F.col("node").alias("a"), "b").distinct()
-    first = written(verified(written(pairs, "pairs"), texts, size, linked), "links")
+    hubs = rows.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last")).where("last > hub.node")
+    shared = written(rows.join(hubs.select("bucket", F.col("hub.node").alias("b"), F.col("hub.n").alias("bn")), "bucket"), "shared")
+    near = F.expr(f"100 * least(n, bn) >= {percent} * greatest(n, bn)")
+    pairs = written(shared.where(near & (F.col("node") > F.col("b"))).select(F.col("node").alias("a"), "b").distinct(), "pairs")
+    first = written(verified(pairs, texts, size, percent), "links")
     merged = written(components(first), "merged")
 
-    owned = rows.join(merged, rows.node == merged.node, "left").select(rows.node, "bucket", F.coalesce("component", rows.node).alias("component"))
+    owned = shared.join(merged, shared.node == merged.node, "left").select(shared.node, "bucket", F.coalesce("component", shared.node).alias("component"))
     open_ = owned.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("high > low").select("bucket")
-    left = written(owned.join(open_, "bucket"), "open")
-    other = left.select(F.col("bucket"), F.col("node").alias("b"), F.col("component").alias("c"))
-    across = left.join(other, "bucket").where("node > b and component <> c").groupBy(F.col("node").alias("a"), "b").count().where("count >= 2").select("a", "b")
-    second = verified(written(across.join(pairs, ["a", "b"], "left_anti"), "pairs"), texts, size, linked)
+    left = written(owned.join(open_, "bucket", "left_semi").select("node", "component").distinct(), "left")
+    bodies = written(texts.join(light(left), texts.id == left.node).select("node", "component", "text"), "bodies")
+    second = verified(prefix_pairs(bodies, size, percent), bodies.select(F.col("node").alias("id"), "text"), size, percent)
     links = written(first.union(second), "links")
 
     final = written(components(links), "components")
-    # Every class has one node, and a node's class may itself be joined to others through shared ids.
     named = classes.select("h1", "h2", "node").join(final, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
     known = full.select("id", "n", "h1", "h2").join(named, ["h1", "h2"]).select("id", "n", "component")
     alone = signed.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
@@ -244,7 +290,24 @@ def near_duplicates(
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.expr("id <=> component").alias("kept"))
 
 
-def keep_one(df: DataFrame, size: int = 3, linked: Callable[[int, int], bool] = at_least_85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, size: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, without the near-duplicates of smaller ids."""
-    gone = near_duplicates(df, size, linked, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone"))
+    gone = near_duplicates(df, size, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = light(written(gone, "gone"))
     return df.join(gone, df[id_col] == F.col("__gone"), "left_anti")
+
+
+#: :func:`near_duplicates` over ``documents`` as DuckDB SQL, by all pairs that share a shingle.
+SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM t
+), n AS (SELECT doc_id, CAST(count(shingle) AS BIGINT) AS n FROM t LEFT JOIN s USING (doc_id) GROUP BY doc_id
+), pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * common >= 85 * (p.n + q.n - common)
+), edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT y, c FROM reach JOIN edges ON reach.doc_id = x)
+SELECT doc_id, n AS n_shingles, min(c) AS component_id, doc_id = min(c) AS kept FROM reach JOIN n USING (doc_id) GROUP BY doc_id, n
+"""
