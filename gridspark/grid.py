@@ -97,7 +97,6 @@ class Grid:
             for n, x in zip(self.extent, self.index, strict=True):
                 out = out | (x < 0) | (x >= n)
             held = held.withColumn("new", F.when(out, F.raise_error(F.lit(f"a write is out of extent {self.extent}"))).otherwise(F.col("new")))
-            held = held.where(F.col("new").isNotNull() | F.lit(True))
         marked = held.withColumn("hit", F.lit(True))
         base = self.renamed(name).join(marked, self.names, "left")
         return Grid(base, self.extent, F.when(F.col("hit"), F.col("new")).otherwise(F.col(name)), self.checked)

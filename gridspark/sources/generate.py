@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from .. import shape as sh
 from ..grid import Grid
-from ..shape import Shape
 
 
 def cells(spark: SparkSession, extent: int | Sequence[int]) -> DataFrame:
@@ -111,6 +110,3 @@ def packed(grid: Grid) -> DataFrame:
     pair = F.struct(F.col(last).alias("k"), F.col("v"))
     rows = grid.df.groupBy(*outer).agg(F.array_sort(F.collect_list(pair)).alias("vs"))
     return rows.select(*outer, F.transform("vs", lambda p: p["v"]).alias("vs"))
-
-
-Cells = Shape
