@@ -9,13 +9,13 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The whitespace of the word definition ``[^\x20\x09-\x0D]+``, as a regex class body.
 WS = r"\x20\x09-\x0D"
 #: Rows and bytes that one Arrow batch may carry, so that a run of long texts stays small.
-BATCH_ROWS, BATCH_BYTES = 8000, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 2500, 8 << 20
 
 #: Rows of ids that are broadcast rather than have all texts shuffled to them.
 LIGHT = 1_000_000
@@ -86,6 +86,11 @@ def light(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= LIGHT else ids
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once a row."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def map_rows(
     df: DataFrame,
     make: Callable[[], Callable[[dict[str, list]], Iterator[dict[str, list]]]],

@@ -184,7 +184,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     tagged = keys(df, id_col, text_col).withColumnRenamed("text_sha256", mark)
     own = owners(df, id_col, text_col).select(F.col("text_sha256").alias(mark), "keep_id", "keep_points")
     points = F.char_length(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    same = tagged.join(own, mark).where((F.col(id_col) .eqNullSafe(F.col("keep_id"))) & (points == F.col("keep_points")))
+    same = tagged.join(own, mark).where(F.col(id_col).eqNullSafe(F.col("keep_id")) & (points == F.col("keep_points")))
     return same.dropDuplicates([mark]).select(*df.columns)
 
 

@@ -20,7 +20,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .secret_scan import let, located
+from .common import let
+from .secret_scan import located
 
 # The phrases and their labels.
 PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
@@ -35,7 +36,7 @@ def _version(v: str) -> str:
     """A version as words: "2.0" is "2 0", "v2 0" or "version 2 0"; a final 0 may be missing."""
     major, _, minor = v.partition(".")
     tail = f" {minor}" if minor not in ("", "0") else "(?: 0)?"
-    return rf"(?:,? ?version )?v?{major}{tail}".replace(",? ?", "")
+    return rf"(?:version )?v?{major}{tail}"
 
 
 def names() -> list[tuple[str, str, str]]:

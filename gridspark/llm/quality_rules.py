@@ -16,12 +16,13 @@ columns as they were.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS
+from .common import WS, let
 
 #: (name, failure as SQL over the measurements). A rule's bit is its place; places never change, new rules go at the end.
 RULES: list[tuple[str, str]] = [
@@ -30,8 +31,8 @@ RULES: list[tuple[str, str]] = [
     ("many_symbols", "n_words > 0 and 10 * n_symbols > 3 * n_words"),
     ("duplicate_lines", "n_lines >= 4 and 100 * n_dup_lines > 50 * n_lines"),
     ("word_length", "n_words > 0 and (word_chars < 2 * n_words or word_chars > 15 * n_words)"),
-    ("shouting", "n_letters >= 50 and 100 * n_upper > 60 * n_letters"),
-    ("few_letters", "word_chars > 0 and 100 * n_letters < 50 * word_chars"),
+    ("shouting", "word_chars - n_marks >= 50 and 100 * n_upper > 60 * (word_chars - n_marks)"),
+    ("few_letters", "word_chars > 0 and 100 * n_marks > 50 * word_chars"),
 ]
 BIT = {name: i for i, (name, _) in enumerate(RULES)}
 
@@ -62,9 +63,13 @@ def _repeats(hashes: Column) -> Column:
     windows, and each such place covers three words but for those that the next place covers.
     """
     pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    zipped = F.arrays_zip(pairs.alias("p"), F.slice(pairs, 2, F.greatest(F.size(pairs) - 1, F.lit(0))).alias("q"))
-    same = F.filter(zipped, lambda z: z["p"]["h"] == z["q"]["h"])
-    places = F.array_sort(F.array_distinct(F.flatten(F.transform(same, lambda z: F.array(z["p"]["i"], z["q"]["i"])))))
+
+    def repeated(p: Column) -> Column:
+        last = F.greatest(F.size(p) - 1, F.lit(0))
+        same = F.zip_with(F.slice(p, 1, last), F.slice(p, 2, last), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+        return F.array_sort(F.array_distinct(F.flatten(F.filter(same, lambda z: z.isNotNull()))))
+
+    places = let(pairs, repeated)
     none = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
     return F.aggregate(places, none, lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(i - acc["last"], F.lit(3))).alias("n")), lambda acc: acc["n"])
 
@@ -72,31 +77,31 @@ def _repeats(hashes: Column) -> Column:
 def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with the measurements of each text."""
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    words = F.filter(F.split(t, f"[{WS}]+"), lambda w: w != "")
+    body = F.btrim(t, F.lit(" \t\n\x0b\f\r"))
+    words = F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, f"[{WS}]+"))
     split = df.withColumns({"__t": t, "__w": words})
     n = F.size("__w")
-    windows = F.arrays_zip(
-        F.slice("__w", 1, F.greatest(n - 2, F.lit(0))).alias("a"), F.slice("__w", 2, F.greatest(n - 2, F.lit(0))).alias("b"), F.slice("__w", 3, F.greatest(n - 2, F.lit(0))).alias("c")
-    )
+    some = lambda first: F.slice("__w", first, F.greatest(n - 2, F.lit(0)))
+    windows = F.arrays_zip(some(1).alias("a"), some(2).alias("b"), some(3).alias("c"))
     hashed = split.withColumn("__h", F.transform(windows, lambda z: F.xxhash64(z["a"], z["b"], z["c"])))
-    lines = F.filter(F.split("__t", "\n", -1), lambda x: x.rlike(f"[^{WS}]"))
+    lines = F.filter(F.split("__t", "\n", -1), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")) != "")
     left = lambda chars: F.char_length(F.regexp_replace("__t", chars, ""))
     size = F.char_length("__t")
     found = hashed.withColumns(
         {
             "n_words": n.cast("long"),
-            "word_chars": left(f"[{WS}]+").cast("long"),
+            "word_chars": F.char_length(F.array_join("__w", "")).cast("long"),
             "n_symbols": (size - left(r"[#*$%&|<>]+")).cast("long"),
             "__l": lines,
             "n_repeat_words": F.when(F.size(F.array_distinct("__h")) < F.size("__h"), _repeats(F.col("__h"))).otherwise(F.lit(0)).cast("long"),
-            "n_letters": (size - left(r"\p{L}+")).cast("long"),
-            "n_upper": (size - left(r"\p{Lu}+")).cast("long"),
+            "n_marks": (size - left(r"[\x21-\x40\x5B-\x60\x7B-\x7E]+")).cast("long"),
+            "n_upper": (size - left(r"[A-Z\u00C0-\u00D6\u00D8-\u00DE]+")).cast("long"),
         }
     )
     return found.withColumns({"n_lines": F.size("__l").cast("long"), "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long")}).drop("__t", "__w", "__h", "__l")
 
 
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_upper"]
 
 
 def ledger(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -129,7 +134,9 @@ def ablation(rows: DataFrame, policy: Policy) -> DataFrame:
 def keep(df: DataFrame, policy: Policy = STRICT, text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, that pass a policy."""
     whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(text_col).alias("__text"))
-    return ledger(whole, "__text").where(passes(policy)).select("__row.*")
+    # Counted on the way. A filter is not moved below a count, where it would repeat every rule's expression for each of its uses.
+    counted = ledger(whole, "__text").observe(f"ledger-{uuid.uuid4().hex}", F.count("*").alias("n_docs"), F.bit_or("failed").alias("failed"))
+    return counted.where(passes(policy)).select("__row.*")
 
 
 def verdicts(df: DataFrame, policy: Policy = STRICT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,13 +167,13 @@ WITH t AS (
          CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
          CAST(len(l) AS BIGINT) AS n_lines,
-         CAST(length(t) - length(regexp_replace(t, '\p{L}+', '', 'g')) AS BIGINT) AS n_letters,
-         CAST(length(t) - length(regexp_replace(t, '\p{Lu}+', '', 'g')) AS BIGINT) AS n_upper
+         CAST(length(t) - length(regexp_replace(t, '[\x21-\x40\x5B-\x60\x7B-\x7E]+', '', 'g')) AS BIGINT) AS n_marks,
+         CAST(length(t) - length(regexp_replace(t, '[A-Z\x{00C0}-\x{00D6}\x{00D8}-\x{00DE}]+', '', 'g')) AS BIGINT) AS n_upper
   FROM numbered LEFT JOIN covered USING (k)
 ), f AS (
   SELECT *, CAST(0{bits} AS BIGINT) AS failed FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       (failed & {base}) <> 0 AS base_failed, (failed & {strict}) = 0 AS kept, n_lines, n_letters, n_upper, failed
+       (failed & {base}) <> 0 AS base_failed, (failed & {strict}) = 0 AS kept, n_lines, n_marks, n_upper, failed
 FROM f
 """.replace("{bits}", "".join(f" + CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, (_, rule) in enumerate(RULES))).replace("{base}", str(BASE.mask)).replace("{strict}", str(STRICT.mask))

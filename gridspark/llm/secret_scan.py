@@ -19,12 +19,11 @@ exclusive. Equal rows give equal results. An empty table gives no rows. Other co
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import let, written
 
 # The kinds in order, with pattern, number of the group that counts, and its least length.
 KINDS = ["assign", "access", "hex", "random"]
@@ -55,11 +54,6 @@ TEXT = {"[a-z]": (0.80, 26), "[A-Z]": (0.06, 26), "[0-9]": (0.10, 10), "[+/_-]":
 BLOCK = 256
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is evaluated once a row."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def located(text: Column, pattern: str | Column, group: int = 0) -> Column:
     """Matches as array<struct<start, stop, value>>: places of the whole match, and the group's text.
 
