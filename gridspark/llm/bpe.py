@@ -33,18 +33,25 @@ from .common import map_rows, tune
 
 #: Pieces longer than this many bytes go through the tree.
 LEAF = 2048
+#: Leaves of one piece from which they are encoded on threads.
+THREADS_FROM = 64
 #: Tokens at either end of a window that must not change, and the first window's tokens a side.
 AGREE, WINDOW = 4, 16
 #: Distinct pieces that a task keeps.
-TABLE = 400_000
+TABLE = 300_000
 #: Texts that are worked on, and returned, together.
-SLICE = 8000
+SLICE = 2500
 
 
 class TreeEncoder:
-    """Encodes one long pre-token, already in the model's alphabet."""
+    """Encodes one long pre-token, already in the model's alphabet.
+
+    From ``THREADS_FROM`` leaves on, the library encodes them on its own threads: a text that
+    long keeps one task busy while the executor's other cores have run out of work.
+    """
 
     def __init__(self, spec: dict):
+        from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
         model = spec["model"]
@@ -52,13 +59,17 @@ class TreeEncoder:
         self.suffix = model.get("end_of_word_suffix") or ""
         self.inner = BPE(model["vocab"], merges)
         self.last = BPE(model["vocab"], merges, end_of_word_suffix=self.suffix) if self.suffix else self.inner
+        self.whole = Tokenizer(self.inner)
 
     def encode(self, word: str, leaf: int = LEAF) -> list[tuple[int, int]]:
         """(id, characters) of each token of ``word``."""
         parts = [(i, min(i + leaf, len(word))) for i in range(0, len(word), leaf)]
         if not parts:
             return []
-        level = [self._flat(word, a, b) for a, b in parts]
+        if len(parts) < THREADS_FROM:
+            level = [self._flat(word, a, b) for a, b in parts]
+        else:
+            level = [*self._leaves([word[a:b] for a, b in parts[:-1]]), self._flat(word, *parts[-1])]
         spans = parts
         while len(level) > 1:
             joined, wider = [], []
@@ -71,6 +82,15 @@ class TreeEncoder:
             level, spans = joined, wider
         return level[0]
 
+    def _leaves(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+        before = os.environ.get("TOKENIZERS_PARALLELISM", "false")
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        try:
+            got = self.whole.encode_batch(texts, add_special_tokens=False)
+        finally:
+            os.environ["TOKENIZERS_PARALLELISM"] = before
+        return [[(i, b - a) for i, (a, b) in zip(e.ids, e.offsets, strict=True)] for e in got]
+
     def _flat(self, word: str, a: int, b: int) -> list[tuple[int, int]]:
         model = self.last if b == len(word) else self.inner
         out = []
@@ -330,6 +350,7 @@ def _map_batches(df: DataFrame, work: Callable, id_col: str, text_col: str, fiel
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
                 yield pa.RecordBatch.from_arrays([part.column(0), *of(part.column(1))], names=names)
+                pa.default_memory_pool().release_unused()
 
     return thin.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 

@@ -37,7 +37,7 @@ from .components import components
 
 PERMUTATIONS, ROWS = 48, 4
 #: Bytes of text that are hashed together.
-SECTION = 2 << 20
+SECTION = 1 << 19
 #: Cells of the sketch that orders shingles, as a power of two.
 CELLS = 18
 
