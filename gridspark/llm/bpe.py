@@ -38,7 +38,7 @@ THREADS_FROM = 64
 #: Tokens at either end of a window that must not change, and the first window's tokens a side.
 AGREE, WINDOW = 4, 16
 #: Distinct pieces that a task keeps.
-TABLE = 300_000
+TABLE = 200_000
 #: Texts that are worked on, and returned, together.
 SLICE = 2500
 
@@ -149,14 +149,18 @@ class Pieces(dict):
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        with open(path, encoding="utf-8") as f:
-            self.spec = json.load(f)
         self.special = [t["content"] for t in self.spec["added_tokens"]]
         self.kind = _kind(path)
         self.most_id = self.tok.get_vocab_size(with_added_tokens=True) - 1
         self.alphabet = byte_alphabet()
         self.tree: TreeEncoder | None = None
 
+    @property
+    def spec(self) -> dict:
+        """The file's content; read when asked for, since it is as large as the tables."""
+        with open(self.path, encoding="utf-8") as f:
+            return json.load(f)
+
     def entries(self, distinct: list[bytes], plain: np.ndarray) -> list:
         """The entry of each piece; ``plain``: those that are letters alone, after a blank at most.
 
