@@ -218,7 +218,7 @@ def sketch(nodes: DataFrame, size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(counts[hit])], names=["cell", "n"])
 
     out = np.zeros(1 << CELLS, np.int64)
-    for cell, n in nodes.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n")).toLocalIterator():
+    for cell, n in nodes.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect():
         out[cell] = n
     return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
 
