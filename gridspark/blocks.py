@@ -242,7 +242,7 @@ class BlockGrid:
 
         rows = self.df if make is None else self.spark.range(0, self.bands, 1, self._tasks()).withColumnRenamed("id", "band")
         out = None
-        for r in rows.mapInArrow(run, "t string, s binary").toLocalIterator():
+        for r in rows.mapInArrow(run, "t string, s binary").collect():
             got = np.frombuffer(r["s"], r["t"])
             out = got if out is None else join(out, got)
         return out
