@@ -2,7 +2,10 @@
 
 Patterns find assignments to secret-like names, access keys and long hexadecimal runs, leftmost
 and non-overlapping per kind. The battery looks at every run of 20 or more characters of the
-usual encodings' alphabets. It infers the encoding from the characters that occur, codes each
+usual encodings' alphabets; ``=`` is in none of them, so it parts runs and belongs to one only as
+its end. A run with characters of both base64 and base64url is tested as a whole over both
+alphabets, and so are its longest parts of 20 or more characters that fit one of the two, as a key
+in a path does; their spans may overlap. Every run is tested. The battery infers the encoding from the characters that occur, codes each
 character by its place in that alphabet and tests uniformity (chi-squared), runs about the
 middle, and serial correlation at lag one; a run that any test rejects at ``ALPHA`` is not
 random. What passes is held against ordinary text: the likelihood ratio of uniform characters
@@ -30,7 +33,10 @@ KINDS = ["assign", "access", "hex", "random"]
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]{24,}"  # runs are whole, so the least length can stand in the pattern
-RUN = "[A-Za-z0-9+/_=-]{20,}"
+RUN = "[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?"
+#: Runs of more than one alphabet, and what of them is tested besides the whole.
+MIXED = "[+/].*[_-]|[_-].*[+/]"
+PARTS = ["[A-Za-z0-9+/]{20,}=*", "[A-Za-z0-9_-]{20,}=*"]
 
 ALPHA = 0.001
 FDR = 0.01
@@ -48,6 +54,7 @@ ENCODINGS = [
     ("base62", _UPPER + _LOWER + _DIGIT),
     ("base64", _UPPER + _LOWER + _DIGIT + "+/"),
     ("base64url", _UPPER + _LOWER + _DIGIT + "-_"),
+    ("mixed", _UPPER + _LOWER + _DIGIT + "+/-_"),
 ]
 #: The model of text: the share of each class of characters, spread evenly over the class.
 TEXT = {"[a-z]": (0.80, 26), "[A-Z]": (0.06, 26), "[0-9]": (0.10, 10), "[+/_-]": (0.04, 4)}
@@ -141,6 +148,20 @@ def battery(body: Column) -> Column:
     return let(F.struct(body.alias("body"), pick.alias("encoding"), letters.alias("letters")), lambda h: F.when(h["letters"].isNotNull(), measured(h)))
 
 
+def candidates(runs: Column) -> Column:
+    """What is tested: each run, and the parts of one of more than one alphabet."""
+
+    def each(s: Column) -> Column:
+        def parts(pattern: str) -> Column:
+            return F.transform(
+                located(s["value"], pattern), lambda p: F.struct((s["start"] + p["start"]).alias("start"), (s["start"] + p["stop"]).alias("stop"), p["value"].alias("value"))
+            )
+
+        return F.when(s["value"].rlike(MIXED), F.concat(F.array(s), *[parts(p) for p in PARTS])).otherwise(F.array(s))
+
+    return F.flatten(F.transform(runs, each))
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base, runs): spans of the patterns, and runs with the battery's measurements, a row a row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -152,9 +173,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     kind = lambda name, spans: F.transform(spans, lambda s: F.struct(F.lit(name).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
     long = lambda spans, least: F.filter(spans, lambda s: F.char_length(s["value"]) >= least)
     base = F.concat(kind("assign", long(assign, 6)), kind("access", long(access, 20)), kind("hex", long(hexes, 24)))
-    tested = F.transform(runs, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), battery(F.rtrim(s["value"], F.lit("="))).alias("test")))
-    fit = F.filter(tested, lambda s: s["test"].isNotNull() & (s["test"]["n"] >= 20))
-    return df.select(F.col(id_col).alias(id_col), text.alias("t")).select(id_col, base.alias("base"), fit.alias("runs"))
+    tested = F.transform(candidates(runs), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), battery(F.rtrim(s["value"], F.lit("="))).alias("test")))
+    return df.select(F.col(id_col).alias(id_col), text.alias("t")).select(id_col, base.alias("base"), tested.alias("runs"))
 
 
 def octave(n: Column) -> Column:

@@ -180,6 +180,26 @@ def test_randomness_battery(spark):
     assert not any("random" in got[i] for i in range(len(keys), len(pairs)))
 
 
+def test_every_run_is_tested(spark):
+    rng = random.Random(14)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda alphabet, n=40: "".join(rng.choice(alphabet) for _ in range(n))
+    made = []
+    for _ in range(12):
+        made += [(f"{name}{k}{end}", len(name), k) for name, end in (("AWS_SECRET_ACCESS_KEY=", " x"), ("?sig=", "&b"), ("auth=", "")) for k in [key(base62 + "+/")]]
+        made += [("auth=" + (k := key(base62 + "_-") + "="), 5, k), ("/srv/my-app/" + (k := key(base62)) + "/a_b", 12, k)]
+        # No part of this reaches 20 characters of one alphabet.
+        made += [("é " + (k := "+".join(key(base62, 9) + "-" + key(base62, 8) for _ in range(4))), 2, k)]
+    pairs = [(i, t) for i, (t, _, _) in enumerate(made)]
+    scanned = secret_scan.scan(some(spark, pairs)).collect()
+    measured = {r["doc_id"]: {(s["start"], s["stop"]): s["test"] for s in r["runs"]} for r in scanned}
+    found = {r["doc_id"]: {(s["start"], s["stop"]) for s in r["spans"] if s["kind"] == "random"} for r in secret_scan.secrets(some(spark, pairs)).collect()}
+    for i, (t, at, k) in enumerate(made):
+        assert measured[i][at, at + len(k)]["n"] == len(k.rstrip("=")), t
+    for kind in range(6):
+        assert sum((at, at + len(k)) in found[i] for i, (_, at, k) in enumerate(made) if i % 6 == kind) >= 10, made[kind]
+
+
 # Quality rules
 
 
