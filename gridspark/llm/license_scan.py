@@ -1,7 +1,7 @@
 """Licences named in text, by built-in functions alone: ordered signature rules.
 
-Words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after lower-casing A-Z. One keyword regex
-gates a document; only gated ones are brought to a line of words on which rules work. There are
+Words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after lower-casing A-Z. One keyword regex,
+made from what the rules need, gates a document; only gated ones are brought to a line of words on which rules work. There are
 some hundreds of rules, each a regular expression with a keyword of its own that must occur
 before it is tried: every licence's names in every template that grants, cites or mentions a
 licence. Rules are ordered by priority; where matches overlap, one that lies within another
@@ -16,6 +16,7 @@ rows give equal results. An empty table gives no rows. Other columns are dropped
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +29,6 @@ PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apach
 
 _SEP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 _LIC = "(?:license|licence)"
-#: Texts without any of these name no licence.
-GATE = rf"(?i)licen[sc]|copyright|copyleft|gpl|creative{_SEP}+commons|public{_SEP}+domain|rights{_SEP}+reserved|cc0|(?:^|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])cc{_SEP}+by(?:$|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])"
 
 
 def _version(v: str) -> str:
@@ -92,7 +91,7 @@ TEMPLATES = [
 ]
 OTHERS = [
     (5, 0.5, "public-domain", "public domain", "(?:in|into|to) the public domain"),
-    (5, 0.5, "proprietary", "reserved", "all rights reserved"),
+    (5, 0.5, "proprietary", "all rights reserved", "all rights reserved"),
     (6, 0.2, "unknown", "under", f"(?:licensed|released|distributed) under [^ ]+(?: [^ ]+){{0,5}}? {_LIC}"),
 ]
 
@@ -104,6 +103,22 @@ def rules() -> list[dict]:
     return sorted(out, key=lambda r: r["prio"])
 
 
+def gate() -> str:
+    """A regular expression that every text with a match of a rule or a phrase fits.
+
+    What a rule needs is the word licence, where its expression has it other than as an option, or else its keyword.
+    """
+    needed = [("license" if _LIC in name.replace(f"(?: {_LIC})?", "") else key) for _, key, name in names()]
+    needed += ["license" if _LIC in name else key for _, _, _, key, name in OTHERS]
+    needed += [phrase for phrase, _ in PHRASES]
+    each = sorted({x for x in needed if not re.search("licen[sc]e", x)})
+    return "(?i)licen[sc]e|" + "|".join(x.replace(" ", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+") for x in each)
+
+
+#: Texts that do not fit this name no licence.
+GATE = gate()
+
+
 def line_of_words(text: Column) -> Column:
     """The words of a text in lower case (A-Z alone), each after a blank, and a blank."""
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -248,6 +249,50 @@ def test_license_rules(spark):
     assert len(license_scan.rules()) >= 200
 
 
+def samples(pattern):
+    """Texts that a regular expression of the rules fits: each choice of its branches, options and classes' first members."""
+    from re import _constants as op
+    from re import _parser as parser
+
+    def made(items):
+        out = [""]
+        for kind, value in items:
+            if kind is op.LITERAL:
+                more = [chr(value)]
+            elif kind is op.NOT_LITERAL:
+                more = ["x"]
+            elif kind is op.IN:
+                more = [chr(value[0][1] if value[0][0] is op.LITERAL else value[0][1][0])]
+            elif kind is op.SUBPATTERN:
+                more = made(value[3])
+            elif kind is op.BRANCH:
+                more = [x for branch in value[1] for x in made(branch)]
+            elif kind in (op.MAX_REPEAT, op.MIN_REPEAT):
+                low, _, inner = value
+                more = [x * n for n in sorted({low, max(low, 1)}) for x in (made(inner) if n else [""])]
+            else:
+                raise AssertionError(kind)
+            out = [a + b for a in out for b in more]
+        return out
+
+    return made(parser.parse(pattern))
+
+
+def named_texts():
+    """(label, keyword, text) of what each rule fits, in its last template, which is its name alone."""
+    said = [(label, key, text) for label, key, name in license_scan.names() for text in samples(name)]
+    return said + [(label, key, text) for _, _, label, key, name in license_scan.OTHERS for text in samples(name)]
+
+
+def test_license_gate_passes_what_rules_fit(spark):
+    said = named_texts()
+    assert len(said) > 500 and not [x for x in said if not re.search(license_scan.GATE, x[2])]
+    assert all(re.search(license_scan.GATE, phrase) for phrase, _ in license_scan.PHRASES)
+    texts = {"Released under the BSD 3-Clause.": "bsd-3", "distributed under the New BSD terms": "bsd-3", "2-clause BSD": "bsd-2", "Released under the terms of WTFPL": "wtfpl", "ALL  RIGHTS\nreserved": "proprietary", "cc-by": "cc-by"}
+    got = {r["doc_id"]: r["labels"] for r in license_scan.digest(license_scan.licenses(some(spark, list(enumerate(texts))))).collect()}
+    assert got == dict(enumerate(texts.values()))
+
+
 # Language
 
 
