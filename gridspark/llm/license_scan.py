@@ -54,15 +54,14 @@ def names() -> list[tuple[str, str, str]]:
         out += [(f"bsd-{n}", "bsd", rf"bsd {n} clause(?: {_LIC})?"), (f"bsd-{n}", "bsd", rf"(?:{n} clause|{words}) bsd(?: {_LIC})?")]
     out.append(("bsd", "bsd", f"bsd(?: style)? {_LIC}"))
     # Licences of a name and versions.
-    for label, word, versions in (
-        ("apache", "apache(?: software)?", ("1.0", "1.1", "2.0")), ("mpl", "mozilla public", ("1.1", "2.0")), ("epl", "eclipse public", ("1.0", "2.0")),
-        ("cddl", "common development and distribution", ("1.0", "1.1")), ("artistic", "artistic", ("1.0", "2.0")), ("eupl", "european union public", ("1.1", "1.2")),
-        ("ofl", "(?:sil )?open font", ("1.0", "1.1")), ("afl", "academic free", ("2.1", "3.0")), ("osl", "open software", ("2.1", "3.0")), ("boost", "boost software", ("1.0",)),
-        ("php", "php", ("3.0", "3.01")), ("zpl", "zope public", ("2.0", "2.1")), ("ecl", "educational community", ("1.0", "2.0")), ("upl", "universal permissive", ("1.0",)),
-        ("elastic", "elastic", ("1.0", "2.0")), ("sspl", "server side public", ("1.0",)), ("bsl", "business source", ("1.1",)), ("cpl", "common public", ("1.0",)),
-        ("psf", "python software foundation", ("2.0",)), ("lppl", "latex project public", ("1.3",)), ("odbl", "open (?:data commons open )?database", ("1.0",)),
+    for label, key, word, versions in (
+        ("apache", "apache", "apache(?: software)?", ("1.0", "1.1", "2.0")), ("mpl", "mozilla public", "mozilla public", ("1.1", "2.0")), ("epl", "eclipse public", "eclipse public", ("1.0", "2.0")),
+        ("cddl", "common development and distribution", "common development and distribution", ("1.0", "1.1")), ("artistic", "artistic", "artistic", ("1.0", "2.0")), ("eupl", "european union public", "european union public", ("1.1", "1.2")),
+        ("ofl", "open font", "(?:sil )?open font", ("1.0", "1.1")), ("afl", "academic free", "academic free", ("2.1", "3.0")), ("osl", "open software", "open software", ("2.1", "3.0")), ("boost", "boost software", "boost software", ("1.0",)),
+        ("php", "php", "php", ("3.0", "3.01")), ("zpl", "zope public", "zope public", ("2.0", "2.1")), ("ecl", "educational community", "educational community", ("1.0", "2.0")), ("upl", "universal permissive", "universal permissive", ("1.0",)),
+        ("elastic", "elastic", "elastic", ("1.0", "2.0")), ("sspl", "server side public", "server side public", ("1.0",)), ("bsl", "business source", "business source", ("1.1",)), ("cpl", "common public", "common public", ("1.0",)),
+        ("psf", "python software foundation", "python software foundation", ("2.0",)), ("lppl", "latex project public", "latex project public", ("1.3",)), ("odbl", "open", "open (?:data commons open )?database", ("1.0",)),
     ):
-        key = word.split("(")[0].strip() or word.rsplit(")", 1)[-1].strip().removeprefix("? ")
         for v in versions:
             out.append((f"{label}-{v.removesuffix('.0')}", key, rf"{word} {_LIC} {_version(v)}"))
         out.append((label, key, rf"{word} {_LIC}"))

@@ -293,6 +293,18 @@ def test_license_gate_passes_what_rules_fit(spark):
     assert got == dict(enumerate(texts.values()))
 
 
+def test_every_license_rule_has_a_keyword_of_its_texts(spark):
+    said = named_texts()
+    assert not [(label, key, text) for label, key, text in said if key not in text]
+    assert all(len(key) > 1 and not re.search(r"[^a-z0-9 ]", key) for _, key, _ in said)
+    for r in license_scan.rules():
+        text = samples(r["pattern"].removesuffix("(?= )"))[0]
+        assert r["key"] in text and re.search(r["pattern"], text + " "), r
+    texts = {"Under the SIL Open Font License, Version 1.1": "ofl-1.1", "the Open Font Licence": "ofl", "SPDX-License-Identifier: SIL Open Font License 1.0": "ofl-1"}
+    got = {r["doc_id"]: r["labels"] for r in license_scan.digest(license_scan.licenses(some(spark, list(enumerate(texts))))).collect()}
+    assert got == dict(enumerate(texts.values()))
+
+
 # Language
 
 
