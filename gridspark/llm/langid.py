@@ -8,7 +8,8 @@ documents, which decides between equal sizes. Where the runner-up is nearly as s
 prediction is marked as rejected.
 
 The dictionaries are the only thing learned. They are fitted on a bounded sample: per language
-the ``DOCS`` training documents with the smallest hash of their id, ``PIECE`` characters of each.
+the ``DOCS`` distinct training texts with the smallest hash, ``PIECE`` characters of each from a
+hashed place, so that neither copies nor a common opening fill a dictionary.
 
 Defined results: a null text or one without a letter is ``und`` with score 0. Texts of a null
 language are not learned from. Without training documents everything is ``und``. Rows keep their
@@ -52,12 +53,15 @@ def fold(id_col: str, n: int) -> Column:
 def dictionaries(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[bytes, float]]:
     """Each language's dictionary and share of the training documents; at most ``DOCS * PIECE`` characters a language reach the driver."""
     rows = df.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0))
-    order = Window.partitionBy("lang").orderBy("h", "piece")
-    piece = F.substring(F.col(text_col), 1, PIECE).alias("piece")
-    thin = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.lit(7)).alias("h"), piece)
-    best = thin.withColumn("k", F.row_number().over(order)).where(F.col("k") <= DOCS)
+    order = Window.partitionBy("lang").orderBy("h")
+    text = F.col(text_col).cast("string")
+    key = [F.col(lang_col).alias("lang"), F.xxhash64(text, F.lit(7)).alias("h")]
+    # Only hashes are exchanged; texts are cut where they are read.
+    best = rows.select(*key).distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= DOCS)
+    place = F.pmod(F.xxhash64("text", F.lit(11)), F.greatest(F.length("text") - PIECE + 1, F.lit(1))).cast("int") + 1
+    pieces = rows.select(*key, text.alias("text")).join(F.broadcast(best), ["lang", "h"]).groupBy("lang", "k").agg(F.min(F.substring(F.col("text"), place, F.lit(PIECE))).alias("piece"))
     out: dict[str, list] = {}
-    for r in sorted(best.select("lang", "k", "piece").collect()):
+    for r in sorted(pieces.collect()):
         out.setdefault(r["lang"], []).append(r["piece"])
     counts = dict(rows.groupBy(lang_col).count().collect())
     return {k: (letters(" ".join(v)), counts[k] / sum(counts.values())) for k, v in out.items()}

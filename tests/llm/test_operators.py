@@ -325,6 +325,20 @@ def test_languages(spark):
     assert langid.identify(spark.createDataFrame([], "doc_id bigint, text string, lang string")).count() == 0
 
 
+def test_dictionaries_of_copies_and_openings(spark):
+    rng = random.Random(16)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(8))
+    say = lambda letters, n: " ".join(word(letters) for _ in range(n))
+    copy, single = say("abcdef", 20), [say("abcdef", 20) for _ in range(100)]
+    opening = say("uvwxyz", 130)
+    data = [(i, t, "aa") for i, t in enumerate([copy] * 300 + single)] + [(1000 + i, f"{opening} {say('klmnop', 600)}", "bb") for i in range(150)]
+    known = langid.dictionaries(spark.createDataFrame(data, "doc_id bigint, text string, lang string"), F.lit(True))
+    aa, bb = known["aa"][0].decode(), known["bb"][0].decode()
+    assert aa.count(copy) == 1 and all(aa.count(t) == 1 for t in single)
+    assert len(re.findall("[k-p]", bb)) > 2 * len(re.findall("[u-z]", bb)) and len(bb) <= langid.DOCS * (langid.PIECE + 1)
+    assert [known[k][1] for k in ("aa", "bb")] == [400 / 550, 150 / 550]
+
+
 # Wavelet matrix
 
 
