@@ -34,8 +34,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many tokens as there are, domains 4:3:2:1, in up to two epochs."""
-    named = docs.withColumn("__domain", domain(F.col("source")))
+    """As many tokens as there are, domains 4:3:2:1, in up to two epochs; a null source has the domain of an empty one."""
+    named = docs.withColumn("__domain", domain(F.coalesce(F.col("source").cast("string"), F.lit(""))))
     weights = spark.sql("SELECT * FROM VALUES ('domain0', 4), ('domain1', 3), ('domain2', 2), ('domain3', 1) AS t(__domain, weight)")
     mixed = mixing.Mix(named, ["__domain", "lang", "source"], budget_ratio=1.0, weights={"__domain": weights}, max_epochs=2)
     return mixed.take(named).select(*docs.columns)

@@ -56,7 +56,10 @@ def domain(source: Column) -> Column:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """60 % of the corpus's tokens, domains 4:3:2:1, languages and sources alike, up to three epochs."""
+    """60 % of the corpus's tokens, domains 4:3:2:1, languages and sources alike, up to three epochs.
+
+    A null source has no domain and is not taken, as in ``MIXING_SQL``, though its tokens count for the budget.
+    """
     docs = documents(spark, sf_dir).withColumn("domain", domain(F.col("source")))
     weights = spark.sql("SELECT * FROM VALUES ('domain0', 4), ('domain1', 3), ('domain2', 2), ('domain3', 1) AS t(domain, weight)")
     return mixing.Mix(docs, ["domain", "lang", "source"], budget_ratio=0.6, weights={"domain": weights}, max_epochs=3).documents()

@@ -85,3 +85,18 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         want.append((i, len(e.ids), brute.sha(" ".join(map(str, e.ids))), brute.sha(tok.decode(e.ids, skip_special_tokens=False))))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_mix_takes_null_sources(spark):
+    import corpus_pipeline
+
+    names = "doc_id bigint, text string, lang string, source string"
+    alone = [(i, "w " * (i + 1), "en", None) for i in range(20)]
+    got = corpus_pipeline.mix(spark, spark.createDataFrame(alone, names), "")
+    assert sorted(map(tuple, got.collect())) == alone
+
+    rng = random.Random(15)
+    data = [(i, "w " * rng.randrange(1, 40), rng.choice(["en", "de"]), rng.choice([None, *(f"src{k}" for k in range(6))])) for i in range(200)]
+    got = sorted(tuple(r)[:2] for r in corpus_pipeline.mix(spark, spark.createDataFrame(data, names), "").collect())
+    assert got == sorted(mixed([(i, t, lang, s or "") for i, t, lang, s in data], 2))
+    assert {i for i, _ in got} & {i for i, _, _, s in data if s is None}
