@@ -3,10 +3,13 @@
 A text is cut where the tokenizer's own pre-tokenizer always cuts, each distinct piece is
 encoded once per task by the ``tokenizers`` library, and a text's ids are its pieces' ids in
 order. A piece without such a cut may be very long; it is encoded as a tree of concatenations:
-halves are encoded apart (in parallel where the library's threads are on), and at each join a
-window around it is encoded anew, growing until its first and last tokens are those that stand
-there already. A sequence in which every two neighbours are stable is the encoding of the whole,
-so the joined ids are exact.
+halves are encoded apart, in parallel on the ``spark.task.cpus`` threads that Spark grants a task,
+and at each join a window around it is encoded anew, growing until its first and last tokens are
+those that stand there already. A sequence in which every two neighbours are stable is the
+encoding of the whole, so the joined ids are exact. Special tokens inside a long piece part it.
+
+A task keeps pieces and their ids up to ``TABLE`` bytes, works on a bounded part of a batch at a
+time, and gives its memory back when it ends.
 
 Defined results: a null or empty text has no ids and decodes to the empty string. Rows repeat
 as they are in the input; a null ``doc_id`` stays null. Extra columns are dropped before the
@@ -18,10 +21,9 @@ from __future__ import annotations
 import json
 import os
 import re
-import sys
 from array import array
 from collections.abc import Callable, Iterator
-from typing import Any
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,28 +31,51 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, tune
+from .common import map_rows, parts, tidy, tune
 
 #: Pieces longer than this many bytes go through the tree.
 LEAF = 2048
-#: Leaves of one piece from which they are encoded on threads.
-THREADS_FROM = 64
 #: Tokens at either end of a window that must not change, and the first window's tokens a side.
 AGREE, WINDOW = 4, 16
-#: Distinct pieces that a task keeps.
-TABLE = 200_000
-#: Texts that are worked on, and returned, together.
-SLICE = 2500
+#: Bytes of distinct pieces and their ids that a task keeps, and what a piece takes besides its text and ids.
+TABLE, ENTRY = 24 << 20, 200
 
 
-class TreeEncoder:
-    """Encodes one long pre-token, already in the model's alphabet.
+@dataclass(frozen=True)
+class Facts:
+    """What the cuts need to know of a tokenizer file; read on the driver and sent with the tasks."""
 
-    From ``THREADS_FROM`` leaves on, the library encodes them on its own threads: a text that
-    long keeps one task busy while the executor's other cores have run out of work.
-    """
+    path: str
+    kind: str
+    special: dict[str, int]
+    joined: bool
+    threads: int = 1
+
+
+def facts(path: str, threads: int = 1) -> Facts:
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"]):
+        raise ValueError(f"{path}: only special tokens that stand for themselves are known")
+    pre, kind = spec["pre_tokenizer"], None
+    if pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and not spec["normalizer"]:
+        kind = "byte"
+    if pre["type"] == "Sequence" and pre["pretokenizers"][0].get("behavior") == "Removed":
+        kind = "word"
+    if kind is None:
+        raise ValueError(f"{path}: this pre-tokenizer's cuts are not known")
+    return Facts(path, kind, {t["content"]: t["id"] for t in spec["added_tokens"]}, spec["decoder"] is None, threads)
+
+
+def granted(df: DataFrame, path: str) -> Facts:
+    """The facts of a file for tasks of ``df``'s session."""
+    return facts(path, int(df.sparkSession.sparkContext.getConf().get("spark.task.cpus", "1")))
+
+
+class TreeEncoder:
+    """Encodes one long pre-token, already in the model's alphabet; leaves on ``threads`` threads of the library."""
 
-    def __init__(self, spec: dict):
+    def __init__(self, spec: dict, threads: int = 1):
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
@@ -60,13 +85,14 @@ class TreeEncoder:
         self.inner = BPE(model["vocab"], merges)
         self.last = BPE(model["vocab"], merges, end_of_word_suffix=self.suffix) if self.suffix else self.inner
         self.whole = Tokenizer(self.inner)
+        self.threads = threads
 
     def encode(self, word: str, leaf: int = LEAF) -> list[tuple[int, int]]:
         """(id, characters) of each token of ``word``."""
         parts = [(i, min(i + leaf, len(word))) for i in range(0, len(word), leaf)]
         if not parts:
             return []
-        if len(parts) < THREADS_FROM:
+        if self.threads == 1:
             level = [self._flat(word, a, b) for a, b in parts]
         else:
             level = [*self._leaves([word[a:b] for a, b in parts[:-1]]), self._flat(word, *parts[-1])]
@@ -83,12 +109,7 @@ class TreeEncoder:
         return level[0]
 
     def _leaves(self, texts: list[str]) -> list[list[tuple[int, int]]]:
-        before = os.environ.get("TOKENIZERS_PARALLELISM", "false")
-        os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        try:
-            got = self.whole.encode_batch(texts, add_special_tokens=False)
-        finally:
-            os.environ["TOKENIZERS_PARALLELISM"] = before
+        got = self.whole.encode_batch(texts, add_special_tokens=False) if texts else []
         return [[(i, b - a) for i, (a, b) in zip(e.ids, e.offsets, strict=True)] for e in got]
 
     def _flat(self, word: str, a: int, b: int) -> list[tuple[int, int]]:
@@ -118,14 +139,6 @@ class TreeEncoder:
             k *= 2
 
 
-def kept_table(key: tuple, make: Callable[[], Any]) -> Any:
-    """A table that a Python worker keeps from task to task; functions travel by value, so no module of ours can hold it."""
-    held = sys.__dict__.setdefault("_gridspark_tables", {})
-    if key not in held:
-        held[key] = make()
-    return held[key]
-
-
 def byte_alphabet() -> dict[int, str]:
     """Byte -> character of byte-level BPE: printable bytes stand for themselves, the rest follow from U+0100."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -134,64 +147,65 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class Pieces(dict):
-    """piece -> entry; ``entry`` makes an entry from the ids of a piece.
+    """piece -> its ids as bytes of 32-bit integers, for a task.
 
-    The first ``most`` distinct pieces of a task stay (frequent ones come early); the rest are
-    encoded once a batch.
+    The first distinct pieces of a task stay, up to ``most`` bytes (frequent ones come early);
+    the rest are encoded once a part of a batch.
     """
 
-    def __init__(self, path: str, entry: Callable[[list[int]], Any], most: int = TABLE):
+    def __init__(self, known: Facts, most: int = TABLE):
         from tokenizers import Tokenizer
 
         super().__init__()
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.path, self.entry, self.most = path, entry, most
-        self.tok = Tokenizer.from_file(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "true" if known.threads > 1 else "false"
+        os.environ["RAYON_NUM_THREADS"] = str(known.threads)
+        self.known, self.room = known, most
+        self.tok = Tokenizer.from_file(known.path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.special = [t["content"] for t in self.spec["added_tokens"]]
-        self.kind = _kind(path)
+        self.cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(known.special, key=len, reverse=True)) + ")") if known.special else None
         self.most_id = self.tok.get_vocab_size(with_added_tokens=True) - 1
         self.alphabet = byte_alphabet()
         self.tree: TreeEncoder | None = None
 
-    @property
-    def spec(self) -> dict:
-        """The file's content; read when asked for, since it is as large as the tables."""
-        with open(self.path, encoding="utf-8") as f:
-            return json.load(f)
-
-    def entries(self, distinct: list[bytes], plain: np.ndarray) -> list:
-        """The entry of each piece; ``plain``: those that are letters alone, after a blank at most.
+    def entries(self, distinct: list[bytes], plain: np.ndarray) -> list[bytes]:
+        """The ids of each piece; ``plain``: those that are letters alone, after a blank at most.
 
         Plain pieces are one pre-token, so they go to the library's model without its pipeline.
         """
         got = [*map(self.get, distinct)]
         missing = [i for i, e in enumerate(got) if e is None]
-        model, entry, words = self.tok.model, self.entry, self.kind == "word"
+        model, words = self.tok.model, self.known.kind == "word"
         for i in missing:
             piece = distinct[i]
             if plain[i] and len(piece) <= LEAF:
                 text = (piece.lstrip() if words else piece).decode("latin-1").translate(self.alphabet)
-                got[i] = entry([t.id for t in model.tokenize(text)])
+                got[i] = packed([t.id for t in model.tokenize(text)])
             else:
                 text = piece.decode()
                 if words:
                     text = text.strip(" \t\n\r\x0b\x0c")
-                got[i] = entry(self.tok.encode(text, add_special_tokens=False).ids if len(text) <= LEAF else self.long(text))
-            if len(self) < self.most:
+                got[i] = packed(self.tok.encode(text, add_special_tokens=False).ids if len(text) <= LEAF else self.long(text))
+            cost = len(piece) + len(got[i]) + ENTRY
+            if cost <= self.room:
                 self[piece] = got[i]
+                self.room -= cost
         return got
 
     def long(self, text: str) -> list[int]:
-        """Ids of a long piece: the library cuts it into pre-tokens, and the tree encodes these."""
-        if any(s in text for s in self.special):
-            return self.tok.encode(text, add_special_tokens=False).ids
+        """Ids of a long piece: special tokens part it, the library cuts what is between into pre-tokens, and the tree encodes these."""
         if self.tree is None:
-            self.tree = TreeEncoder(self.spec)
-        if self.tok.normalizer:
-            text = self.tok.normalizer.normalize_str(text)
-        return [i for word, _ in self.tok.pre_tokenizer.pre_tokenize_str(text) for i, _ in self.tree.encode(word)]
+            with open(self.known.path, encoding="utf-8") as f:
+                self.tree = TreeEncoder(json.load(f), self.known.threads)
+        out: list[int] = []
+        for part in self.cut.split(text) if self.cut else [text]:
+            if part in self.known.special:
+                out.append(self.known.special[part])
+                continue
+            if self.tok.normalizer:
+                part = self.tok.normalizer.normalize_str(part)
+            out += [i for word, _ in self.tok.pre_tokenizer.pre_tokenize_str(part) for i, _ in self.tree.encode(word)] if part else []
+        return out
 
 
 #: Cuts of a byte-level pre-tokenizer at white space: a word with one space before it, or a run of white space but for its last character.
@@ -305,36 +319,17 @@ def pieces_of_batch(texts: pa.Array, kind: str, special: list[str]) -> tuple[lis
     return distinct.to_pylist(), (letters == size) & (size > 0), coded.indices.to_numpy(zero_copy_only=False), at
 
 
-def _kind(path: str) -> str:
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    pre = spec["pre_tokenizer"]
-    if pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and not spec["normalizer"]:
-        return "byte"
-    if pre["type"] == "Sequence" and pre["pretokenizers"][0].get("behavior") == "Removed":
-        return "word"
-    raise ValueError(f"{path}: this pre-tokenizer's cuts are not known")
-
-
-def _decoder(path: str) -> Callable[[list[str]], str]:
-    """How the library's ``decode`` joins token strings: with spaces where there is no decoder."""
-    with open(path, encoding="utf-8") as f:
-        if json.load(f)["decoder"] is None:
-            return " ".join
-    raise ValueError(f"{path}: only a tokenizer file without a decoder is decoded piece by piece; use decode()")
-
-
 def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sums of consecutive ranges, empty ones too."""
     total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
     return total[at[1:]] - total[at[:-1]]
 
 
-def _joined(parts: list[str], codes: np.ndarray, at: np.ndarray) -> pa.Array:
-    """The parts of each text one after the other, without the blank that ends each part."""
-    if not len(codes):
+def _joined(shown: pa.Array, ids: np.ndarray, at: np.ndarray) -> pa.Array:
+    """What is shown of each id, one after the other by text, without the blank that ends it."""
+    if not len(ids):
         return pa.array([""] * (len(at) - 1), pa.string())
-    taken = pa.array(parts, pa.string()).take(pa.array(codes))
+    taken = shown.take(pa.array(ids))
     ends = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset : taken.offset + len(taken) + 1]
     data = taken.buffers()[2] or pa.py_buffer(b"")
     whole = pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends[at])), data])
@@ -349,14 +344,12 @@ def _map_batches(df: DataFrame, work: Callable, id_col: str, text_col: str, fiel
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = work()
+        names = ["id", *[x.split()[0] for x in fields.split(", ")]]
         for batch in batches:
-            names = ["id", *[x.split()[0] for x in fields.split(", ")]]
-            for i in range(0, batch.num_rows, SLICE):
-                part = batch.slice(i, SLICE)
+            for part in parts(batch):
                 yield pa.RecordBatch.from_arrays([part.column(0), *of(part.column(1))], names=names)
-                pa.default_memory_pool().release_unused()
 
-    return thin.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return thin.mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)
 
 
 def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -366,23 +359,19 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     Only for tokenizer files without a decoder, where decoding joins token strings with blanks.
     """
     tune(df.sparkSession)
-    kind = _kind(path)
-    _decoder(path)
+    known = granted(df, path)
+    if not known.joined:
+        raise ValueError(f"{path}: only a tokenizer file without a decoder is decoded id by id; use decode()")
 
     def work():
-        def new() -> Pieces:
-            table = Pieces(path, lambda ids: (len(ids), "".join([digits[i] for i in ids]), "".join([tokens[i] for i in ids])))
-            most = table.most_id + 1
-            digits, tokens = [f"{i} " for i in range(most)], [f"{table.tok.id_to_token(i)} " for i in range(most)]
-            return table
-
-        table = kept_table((path, "shown"), new)
+        table = Pieces(known)
+        digits = pa.array([f"{i} " for i in range(table.most_id + 1)], pa.string())
+        tokens = pa.array([f"{table.tok.id_to_token(i)} " for i in range(table.most_id + 1)], pa.string())
 
         def of(texts: pa.Array) -> list[pa.Array]:
-            distinct, plain, codes, at = pieces_of_batch(texts, kind, table.special)
-            got = table.entries(distinct, plain)
-            n = np.array([e[0] for e in got] or [0], np.int64)
-            return [pa.array(sums(n[codes], at)), _joined([e[1] for e in got], codes, at), _joined([e[2] for e in got], codes, at)]
+            ids, n = ids_of_batch(table, texts)
+            at = np.concatenate(([0], np.cumsum(n)))
+            return [pa.array(n), _joined(digits, ids, at), _joined(tokens, ids, at)]
 
         return of
 
@@ -394,9 +383,9 @@ def packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
-def ids_of_batch(table: Pieces, texts: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a batch of texts, and each text's number of ids. The table's entries are bytes of 32-bit ids."""
-    distinct, plain, codes, at = pieces_of_batch(texts, kind, table.special)
+def ids_of_batch(table: Pieces, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a batch of texts, and each text's number of ids."""
+    distinct, plain, codes, at = pieces_of_batch(texts, table.known.kind, list(table.known.special))
     got = table.entries(distinct, plain)
     size = np.array([*map(len, got)] or [0], np.int64) >> 2
     flat = np.frombuffer(b"".join(got), np.uint32)
@@ -410,13 +399,13 @@ def ids_of_batch(table: Pieces, texts: pa.Array, kind: str) -> tuple[np.ndarray,
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of each text."""
     tune(df.sparkSession)
-    kind = _kind(path)
+    known = granted(df, path)
 
     def work():
-        table = kept_table((path, "ids"), lambda: Pieces(path, packed))
+        table = Pieces(known)
 
         def of(texts: pa.Array) -> list[pa.Array]:
-            ids, n = ids_of_batch(table, texts, kind)
+            ids, n = ids_of_batch(table, texts)
             return [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(ids.astype(np.int32)))]
 
         return of

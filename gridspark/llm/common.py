@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +21,9 @@ WS = r"\x20\x09-\x0D"
 #: Rows and bytes that one Arrow batch may carry, so that a run of long texts stays small.
 BATCH_ROWS, BATCH_BYTES = 2500, 8 << 20
 
+#: Rows and bytes of text that a Python worker works on together.
+PART_ROWS, PART_BYTES = 2500, 2 << 20
+
 #: Rows of ids that are broadcast rather than have all texts shuffled to them.
 LIGHT = 1_000_000
 
@@ -78,7 +85,47 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    got = spark.read.schema(df.schema).parquet(path)
+    got._work_path = path
+    return got
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables made by :func:`written` that no later plan reads."""
+    for df in tables:
+        remove(df.sparkSession, df._work_path.rpartition("/")[0])
+
+
+def parts(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of at most ``PART_ROWS`` rows and, but for single texts, ``PART_BYTES`` of the text column."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < batch.num_rows:
+        before = ends[i - 1] if i else 0
+        n = int(np.searchsorted(ends, before + PART_BYTES, side="right")) - i
+        n = min(max(n, 1), PART_ROWS)
+        yield batch.slice(i, n)
+        i += n
+
+
+def give_back() -> None:
+    """Returns what a task has freed to the system: a Python worker lives on and the next task may be another stage's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for ``mapInArrow`` whose worker gives its memory back when a task has ended."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
 
 
 def light(ids: DataFrame) -> DataFrame:

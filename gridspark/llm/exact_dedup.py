@@ -7,11 +7,15 @@ full byte strings into a Patricia trie whose terminal nodes keep the row that st
 points in the original text, then the smallest id. A task's rows come sorted by length and hash,
 so a subtree is complete when the next one begins: the trie is emitted and emptied there once it
 holds ``BUDGET`` bytes, and Spark's sort does the spilling. Memory holds one budget's worth of
-distinct texts whatever the sizes of groups.
+distinct texts whatever the sizes of groups. Nodes refer to the texts they were cut from, so a
+text is held once.
 
 Defined results: a null text counts as empty, and empty and blank texts are copies of each
 other. Equal rows (even with one id) are rows of one group and each counts. A null id is larger
-than all others. An empty table gives no rows. Extra columns are dropped before the shuffle.
+than all others. An empty table gives no rows. Extra columns are dropped before the shuffle;
+:func:`keep_one` keeps them, whatever their names, and where rows of a group agree in the id and
+code points of the row that stays, the one with the smallest MD5 of its text, then the smallest
+JSON of its other columns, stays.
 """
 
 from __future__ import annotations
@@ -24,20 +28,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, tune
+from .common import WS, parts, tidy, tune
 
-#: Bytes of distinct text that a trie holds before finished subtrees leave it.
-BUDGET = 64 << 20
+#: Bytes that a trie holds before finished subtrees leave it, and what a text takes besides its own bytes.
+BUDGET, ENTRY = 32 << 20, 500
+#: Bytes of text that leave a trie together.
+OUT = 4 << 20
 BLANKS = b"\t\n\x0b\x0c\r "
 
 
 class Node:
-    """An edge's bytes, the children by first byte and, at the end of a text, its owner."""
+    """An edge, bytes ``lo`` to ``hi`` of a text, the children by first byte and, at the end of a text, its owner."""
 
-    __slots__ = ("edge", "children", "owner")
+    __slots__ = ("text", "lo", "hi", "children", "owner")
 
-    def __init__(self, edge: bytes, owner: list | None = None):
-        self.edge, self.children, self.owner = edge, {}, owner
+    def __init__(self, text: bytes, lo: int, hi: int):
+        self.text, self.lo, self.hi, self.children, self.owner = text, lo, hi, None, None
 
 
 def better(a: tuple[int, int | None], b: tuple[int, int | None]) -> bool:
@@ -51,31 +57,30 @@ class Patricia:
     """A compressed radix trie over byte strings; terminal nodes hold [points, id, rows, payload]."""
 
     def __init__(self):
-        self.root, self.bytes, self.terminals = Node(b""), 0, []
+        self.root, self.bytes, self.terminals = Node(b"", 0, 0), 0, []
 
     def insert(self, text: bytes, points: int, ident: int | None, rows: int, payload=None) -> None:
         node, at = self.root, 0
-        while True:
-            if at == len(text):
-                break
+        while at < len(text):
+            if node.children is None:
+                node.children = {}
             child = node.children.get(text[at])
             if child is None:
-                node.children[text[at]] = new = Node(text[at:])
-                self.bytes += len(text) - at + 200
-                node, at = new, len(text)
+                node.children[text[at]] = node = Node(text, at, len(text))
                 break
-            edge = child.edge
+            edge = child.text[child.lo : child.hi]
             if text.startswith(edge, at):
                 node, at = child, at + len(edge)
                 continue
             n = common_prefix(edge, text, at)
-            middle = Node(edge[:n])
-            child.edge = edge[n:]
-            middle.children[child.edge[0]] = child
+            middle = Node(child.text, child.lo, child.lo + n)
+            child.lo += n
+            middle.children = {edge[n]: child}
             node.children[text[at]] = middle
             node, at = middle, at + n
         if node.owner is None:
             node.owner = [points, ident, rows, payload]
+            self.bytes += len(text) + ENTRY
             self.terminals.append(node.owner)
             return
         node.owner[2] += rows
@@ -100,30 +105,34 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trie = Patricia()
 
     def emit() -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(trie.terminals), 500):
-            part = trie.terminals[i : i + 500]
-            hashes = [hashlib.sha256(o[3]).digest() for o in part]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([len(o[3]) for o in part], pa.int64()),
-                    pa.array(hashes, pa.binary()),
-                    pa.array([o[3] for o in part], pa.binary()),
-                    pa.array([o[0] for o in part], pa.int64()),
-                    pa.array([o[1] for o in part], pa.int64()),
-                    pa.array([o[2] for o in part], pa.int64()),
-                ],
-                names=["len", "hash", "body", "points", "id", "n"],
-            )
+        part, size = [], 0
+        for i, owner in enumerate(trie.terminals):
+            part.append(owner)
+            size += len(owner[3])
+            if size >= OUT or len(part) == 500 or i == len(trie.terminals) - 1:
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([len(o[3]) for o in part], pa.int64()),
+                        pa.array([hashlib.sha256(o[3]).digest() for o in part], pa.binary()),
+                        pa.array([o[3] for o in part], pa.binary()),
+                        pa.array([o[0] for o in part], pa.int64()),
+                        pa.array([o[1] for o in part], pa.int64()),
+                        pa.array([o[2] for o in part], pa.int64()),
+                    ],
+                    names=["len", "hash", "body", "points", "id", "n"],
+                )
+                part, size = [], 0
 
     for batch in batches:
-        texts = pc.fill_null(batch.column(1), "")
-        points = pc.utf8_length(texts).to_pylist()
-        for ident, text, p in zip(batch.column(0).to_pylist(), texts.cast(pa.binary()).to_pylist(), points, strict=True):
-            body = text.translate(None, BLANKS)
-            trie.insert(body, p, ident, 1, body)
-            if trie.bytes > BUDGET:
-                yield from emit()
-                trie = Patricia()
+        for rows in parts(batch):
+            texts = pc.fill_null(rows.column(1), "")
+            points = pc.utf8_length(texts).to_pylist()
+            for ident, text, p in zip(rows.column(0).to_pylist(), texts.cast(pa.binary()).to_pylist(), points, strict=True):
+                body = text.translate(None, BLANKS)
+                trie.insert(body, p, ident, 1, body)
+                if trie.bytes > BUDGET:
+                    yield from emit()
+                    trie = Patricia()
     yield from emit()
 
 
@@ -141,12 +150,13 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     for batch in batches:
-        for size, digest, body, points, ident, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if trie.bytes > BUDGET and (size, digest) != last:
-                yield emit()
-                trie = Patricia()
-            last = (size, digest)
-            trie.insert(body, points, ident, n, digest.hex())
+        for rows in parts(batch, 2):
+            for size, digest, body, points, ident, n in zip(*[c.to_pylist() for c in rows.columns], strict=True):
+                if trie.bytes > BUDGET and (size, digest) != last:
+                    yield emit()
+                    trie = Patricia()
+                last = (size, digest)
+                trie.insert(body, points, ident, n, digest.hex())
     if trie.terminals:
         yield emit()
 
@@ -155,9 +165,9 @@ def owners(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(text_sha256, keep_id, keep_points, group_size), a row a distinct normalised text."""
     tune(df.sparkSession)
     thin = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    merged = thin.mapInArrow(_local, "len long, hash binary, body binary, points long, id long, n long")
+    merged = thin.mapInArrow(tidy(_local), "len long, hash binary, body binary, points long, id long, n long")
     dealt = merged.repartition("len", "hash").sortWithinPartitions("len", "hash")
-    return dealt.mapInArrow(_owners, "text_sha256 string, keep_id long, keep_points long, group_size long")
+    return dealt.mapInArrow(tidy(_owners), "text_sha256 string, keep_id long, keep_points long, group_size long")
 
 
 def keys(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -176,16 +186,15 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns, that stay: one a group.
-
-    A group's rows that share the id and the text of the row that stays are merged as well.
-    """
-    mark = "__sha"
-    tagged = keys(df, id_col, text_col).withColumnRenamed("text_sha256", mark)
-    own = owners(df, id_col, text_col).select(F.col("text_sha256").alias(mark), "keep_id", "keep_points")
-    points = F.char_length(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    same = tagged.join(own, mark).where(F.col(id_col).eqNullSafe(F.col("keep_id")) & (points == F.col("keep_points")))
-    return same.dropDuplicates([mark]).select(*df.columns)
+    """The rows of ``df``, all columns, that stay: one a group; ties as above."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    text = F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))
+    tagged = keys(df.select(row.alias("row"), F.col(f"`{text_col}`").alias("text")), "", "text").select("row", F.col("text_sha256").alias("sha"))
+    own = owners(df, id_col, text_col).select(F.col("text_sha256").alias("sha"), "keep_id", "keep_points")
+    same = tagged.join(own, "sha").where(F.col(f"row.`{id_col}`").eqNullSafe(F.col("keep_id")) & (F.char_length(text) == F.col("keep_points")))
+    rest = F.to_json(F.struct(F.lit(0), *[F.col(f"row.`{c}`") for c in df.columns if c != text_col]))
+    best = same.groupBy("sha").agg(F.min_by("row", F.struct(F.md5(text.cast("binary")), rest)).alias("row"))
+    return best.select("row.*")
 
 
 #: :func:`dedup` over ``documents`` as DuckDB SQL.

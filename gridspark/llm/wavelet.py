@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import SLICE, Pieces, ids_of_batch, kept_table, packed
-from .common import tune, work_path, written
+from .bpe import Pieces, granted, ids_of_batch
+from .common import parts, tidy, tune, work_path, written
 
 MAGIC = b"GSWM0001"
 #: Bits of a plane in one block; ids of a shard (a document is never divided).
@@ -203,6 +203,7 @@ def write_shards(df: DataFrame, path: str, folder: str, end_id: int, shards: int
     """
     spark = tune(df.sparkSession)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = granted(df, path)
     thin = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     tie = F.xxhash64("text")
     dealt = thin.repartitionByRange(shards, "id", tie).sortWithinPartitions("id", tie, "text")
@@ -212,7 +213,7 @@ def write_shards(df: DataFrame, path: str, folder: str, end_id: int, shards: int
 
         task = TaskContext.get()
         part, seq, held, n = task.partitionId(), 0, [], 0
-        table = kept_table((path, "ids"), lambda: Pieces(path, packed))
+        table = Pieces(known)
         store, top = _files(folder)
 
         def flush() -> pa.RecordBatch:
@@ -226,9 +227,8 @@ def write_shards(df: DataFrame, path: str, folder: str, end_id: int, shards: int
 
         store.create_dir(top, recursive=True)
         for batch in batches:
-            for i in range(0, batch.num_rows, SLICE):
-                one = batch.slice(i, SLICE)
-                ids, sizes = ids_of_batch(table, one.column(1), table.kind)
+            for one in parts(batch):
+                ids, sizes = ids_of_batch(table, one.column(1))
                 ends = np.cumsum(sizes)
                 whole = np.insert(ids.astype(np.uint16 if table.most_id < 65536 else np.uint32), ends, end_id)
                 held.append((whole, one.column(0).to_pylist(), sizes + 1))
@@ -239,7 +239,7 @@ def write_shards(df: DataFrame, path: str, folder: str, end_id: int, shards: int
         if held:
             yield flush()
 
-    return written(dealt.mapInArrow(run, "part int, seq int, file string, n_docs long, n_tokens long"), "manifest")
+    return written(dealt.mapInArrow(tidy(run), "part int, seq int, file string, n_docs long, n_tokens long"), "manifest")
 
 
 MANIFEST = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
@@ -266,7 +266,7 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
                 crc = [zlib.crc32(view[4 * (e - s) : 4 * e]) for s, e in zip(shard.sizes.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(row["first"] + ends - shard.sizes), pa.array(shard.sizes), pa.array(crc, pa.int64())], schema=READ)
 
-    return placed.repartition(tasks, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(tasks, "file").mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(df: DataFrame, path: str, end_id: int, shards: int | None = None) -> DataFrame:

@@ -13,6 +13,10 @@ def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def md5(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
 def lower(text):
     return re.sub("[A-Z]+", lambda m: m[0].lower(), text)
 

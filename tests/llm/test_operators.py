@@ -1,3 +1,4 @@
+import json
 import random
 import re
 
@@ -58,13 +59,36 @@ def test_bpe_round_trip(spark, docs, empty, texts, name):
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_tree_of_concatenations_is_exact(name):
     rng, tok = random.Random(3), library(name)
-    pieces = bpe.Pieces(tokenizer(name), list)
-    tree = bpe.TreeEncoder(pieces.spec)
+    with open(tokenizer(name), encoding="utf-8") as f:
+        spec = json.load(f)
+    trees = [bpe.TreeEncoder(spec), bpe.TreeEncoder(spec, threads=2)]
     for alphabet in ("ab", "aab", "abcdefghij", "thereinganaton", "éüa"):
         for n in (1, 63, 64, 65, 700, 5000):
             word = "".join(rng.choice(alphabet) for _ in range(n))
             seen = "".join(bpe.byte_alphabet()[b] for b in word.encode())
-            assert [i for i, _ in tree.encode(seen, leaf=64)] == tok.encode(word, add_special_tokens=False).ids
+            for tree in trees:
+                assert [i for i, _ in tree.encode(seen, leaf=64)] == tok.encode(word, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_special_tokens_part_long_pieces(name):
+    rng, tok = random.Random(21), library(name)
+    known = bpe.facts(tokenizer(name))
+    table = bpe.Pieces(known)
+    body = lambda n: "".join(rng.choice("abcABéÉ") for _ in range(n))
+    for special in known.special:
+        for made in (body(3000) + special + body(5000), special + body(4000) + special + special, body(3000) + special[:-1] + body(3000) + special + "Z"):
+            assert table.long(made) == tok.encode(made, add_special_tokens=False).ids
+
+
+def test_piece_tables_are_bounded():
+    import pyarrow as pa
+
+    tok, table = library("word_bpe_49k.json"), bpe.Pieces(bpe.facts(tokenizer("word_bpe_49k.json")), most=3000)
+    texts = [f"word{i} other{i} word{i % 3}" for i in range(200)]
+    ids, sizes = bpe.ids_of_batch(table, pa.array(texts, pa.string()))
+    assert 0 <= table.room < 3000 and 0 < sum(len(k) + len(v) + bpe.ENTRY for k, v in table.items()) <= 3000
+    assert ids.tolist() == [i for t in texts for i in tok.encode(t, add_special_tokens=False).ids] and len(sizes) == 200
 
 
 def test_pieces_of_random_text():
@@ -73,9 +97,9 @@ def test_pieces_of_random_text():
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
         import pyarrow as pa
 
-        table, tok = bpe.Pieces(tokenizer(name), bpe.packed), library(name)
+        table, tok = bpe.Pieces(bpe.facts(tokenizer(name))), library(name)
         texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(12))) for _ in range(3000)]
-        ids, sizes = bpe.ids_of_batch(table, pa.array(texts, pa.string()), table.kind)
+        ids, sizes = bpe.ids_of_batch(table, pa.array(texts, pa.string()))
         at = 0
         for t, n in zip(texts, sizes, strict=True):
             assert ids[at : at + n].tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
@@ -445,6 +469,25 @@ def test_exact_dedup_of_odd_rows(spark):
     assert exact_dedup.keep_one(some(spark, [(7, "ab"), (7, "ab"), (7, "a b")])).collect() == [(7, "a b")]
 
 
+def test_keep_one_of_clashing_columns_and_ties(spark):
+    names = ["sha", "row", "text_sha256", "keep_id", "keep_points", "group_size", "__sha", "len", "hash", "body", "n", "id"]
+    made = [(1, "a b", "q"), (1, " ab", "p"), (1, "ab ", "p"), (1, "ab ", "o"), (2, "ab", "n"), (3, None, "m"), (None, "z", "k"), (None, "z", "j")]
+    want = None
+    for seed in range(4):
+        data = list(made)
+        random.Random(seed).shuffle(data)
+        table = spark.createDataFrame(data, "doc_id bigint, text string, sha string").repartition(3)
+        table = table.withColumns({n: F.col("sha") for n in names[1:]} | {"a b": F.lit(1), "m": F.create_map(F.lit(1), F.lit(2))})
+        got = exact_dedup.keep_one(table)
+        assert got.columns == table.columns
+        got = sorted((tuple(r)[:4] for r in got.collect()), key=repr)
+        want = want or got
+        assert got == want
+    texts = [" ab", "a b", "ab "]
+    first = min(texts, key=brute.md5)
+    assert want[0][:2] == (1, first) and want[0][2] == min(c for i, t, c in made if t == first) and want[1:] == [(3, None, "m", "m"), (None, "z", "j", "j")]
+
+
 def test_patricia_trie():
     rng = random.Random(9)
     trie, want = exact_dedup.Patricia(), {}
