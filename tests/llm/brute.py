@@ -1,6 +1,7 @@
 """Plain versions of the operators, to hold them against."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -81,6 +82,64 @@ def secrets(text):
     return ",".join(x for _, _, x in sorted(found))
 
 
+# Fixed values of the battery: alphabets from narrow to wide, models of text by class of characters.
+DIGIT, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ALPHABETS = [DIGIT, DIGIT + "abcdef", DIGIT + "ABCDEF", UPPER + "234567", DIGIT + LOWER, DIGIT + UPPER, UPPER + LOWER + DIGIT]
+ALPHABETS += [UPPER + LOWER + DIGIT + "+/", UPPER + LOWER + DIGIT + "-_", UPPER + LOWER + DIGIT + "+/-_"]
+SHARES = [(0.80, 0.06, 0.10, 0.04), (0.06, 0.80, 0.10, 0.04), (0.06, 0.06, 0.84, 0.04)]
+
+
+def tail(z):
+    return math.erfc(z / math.sqrt(2)) / 2
+
+
+def battery(body):
+    """(n, p, log e) of a run, by the textbook's sums."""
+    alphabet = next(a for a in ALPHABETS if set(body) <= set(a))
+    n, k = len(body), len(alphabet)
+    x = np.array([alphabet.index(c) for c in body], float)
+    chi = sum((body.count(c) - n / k) ** 2 / (n / k) for c in alphabet)
+    z = ((max(chi / (k - 1), 1e-9)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
+    p = [tail(z) if z > 0 else 1.0]
+    high = x >= k / 2
+    a, b = high.sum(), n - high.sum()
+    mean = 2 * a * b / n + 1
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    p.append(2 * tail(abs(1 + (high[1:] != high[:-1]).sum() - mean) / math.sqrt(var)) if var > 0 else 0.0)
+    d = x - x.mean()
+    p.append(2 * tail(abs((d[1:] * d[:-1]).sum() / (d * d).sum() + 1 / n) * math.sqrt(n)) if d.any() else 0.0)
+    sizes = [sum(c in group for c in body) for group in (LOWER, UPPER, DIGIT, "+/_-")]
+    text = max(sum(c * math.log(s / w) for c, s, w in zip(sizes, shares, (26, 26, 10, 4), strict=True)) for shares in SHARES)
+    return n, min(1.0, 3 * min(p)), -n * math.log(k) - text
+
+
+def random_spans(texts, fdr=0.01, step=0.25, most=400.0):
+    """[(text, start, end)] of the runs that the battery finds random, by sorting all values of an octave."""
+    octaves = {}
+    for i, t in enumerate(texts):
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?", t or ""):
+            spans = [m.span()]
+            if set("+/") & set(m[0]) and set("_-") & set(m[0]):
+                spans += [(m.start() + q.start(), m.start() + q.end()) for p in ("[A-Za-z0-9+/]{20,}=*", "[A-Za-z0-9_-]{20,}=*") for q in re.finditer(p, m[0])]
+            for a, b in spans:
+                n, p, e = battery(t[a:b].rstrip("="))
+                octaves.setdefault(int(math.log2(n)), []).append((p, e, i, a, b))
+    down = lambda x: math.floor(min(x, most) / step) * step
+    out = []
+    for runs in octaves.values():
+        m = len(runs)
+        harmonic = m * sum(1 / i for i in range(1, m + 1))
+        logs = sorted((down(-math.log(p)) if p > 0 else most for p, *_ in runs), reverse=True)
+        ranks = [k for k in range(m) if harmonic * math.exp(-logs[k]) <= fdr * (k + 1)]
+        least = logs[max(ranks)] if ranks else math.inf
+        left = [(0 if e <= 0 else down(e), *where) for p, e, *where in runs if (-math.log(p) if p > 0 else most) < least]
+        left = sorted((r for r in left if r[0] > 0), reverse=True)
+        good = [k for k in range(len(left)) if m * math.exp(-left[k][0]) <= fdr * (k + 1)]
+        limit = left[max(good)][0] if good else math.inf
+        out += [tuple(where) for e, *where in left if e >= limit]
+    return sorted(out)
+
+
 PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
 

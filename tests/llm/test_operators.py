@@ -1,6 +1,7 @@
 import json
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -225,6 +226,44 @@ def test_every_run_is_tested(spark):
         assert sum((at, at + len(k)) in found[i] for i, (_, at, k) in enumerate(made) if i % 6 == kind) >= 10, made[kind]
 
 
+def test_random_spans_against_brute_force(spark, texts):
+    rng = random.Random(22)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9)))
+    key = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    made = list(texts)
+    for _ in range(150):
+        n = rng.choice([20, 24, 32, 40, 64, 90, 200])
+        made.append("é x " + rng.choice([key(base62, n), key(base62 + "+/", n) + "==", key("0123456789abcdef", n), key("0123456789", n), key("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", n)]) + " y")
+        made.append(rng.choice(["_", "-", "/", "", "+"]).join(word() for _ in range(rng.randrange(4, 14))))
+        made.append("".join(word().capitalize() for _ in range(rng.randrange(4, 9))) + " " + "_".join(word().upper() for _ in range(5)))
+        made.append(f"/srv/{word()}-{word()}/{key(base62, 40)}/{word()}_{word()}+{key(base62, 12)}")
+    got = secret_scan.secrets(some(spark, list(enumerate(made)))).collect()
+    found = sorted((r["doc_id"], s["start"], s["stop"]) for r in got for s in r["spans"] if s["kind"] == "random")
+    assert found == brute.random_spans(made) and len(found) > 150
+
+
+def test_long_runs_are_tested_in_one_pass(spark):
+    rng = random.Random(23)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    made = ["".join(rng.choices(base64, k=n)) for n in (8192, 8193, 8194, 16385, 2_000_000)] + ["".join(rng.choices(base64, k=300_000)) + "_" + "a" * 300_000]
+    began = time.perf_counter()
+    tests = {r["doc_id"]: {(s["start"], s["stop"]): s["test"] for s in r["runs"]} for r in secret_scan.scan(some(spark, list(enumerate(made)))).collect()}
+    assert time.perf_counter() - began < 120
+    for i, t in enumerate(made[:5]):
+        n, p, log_e = brute.battery(t)
+        test = tests[i][0, len(t)]
+        assert test["n"] == n and abs(test["p"] - p) < 1e-6 and abs(test["log_e"] - log_e) < 1e-6 * abs(log_e)
+    assert tests[5][0, 600_001]["p"] == 0 and tests[5][0, 300_000]["p"] > 1e-6
+
+
+def test_secrets_of_odd_rows(spark):
+    key = "Zk3vQx9LmT2bRw8NpYc5HdJf7GsKa4Ue"
+    table = some(spark, [(None, f"token={key}"), (1, f"token={key}"), (1, f"token={key}"), (2, None)]).withColumns({c: F.lit("x") for c in ("t", "base", "runs", "spans", "kind")})
+    got = rows(secret_scan.digest(secret_scan.secrets(table)))
+    assert [r[0] for r in got] == [1, 1, 2, None] and got[0] == got[1] and got[0][1:] == got[3][1:] and got[0][1] == 1
+
+
 # Quality rules
 
 
