@@ -2,10 +2,11 @@
 
 Words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after lower-casing A-Z. One keyword regex,
 made from what the rules need, gates a document; only gated ones are brought to a line of words on which rules work. There are
-some hundreds of rules, each a regular expression with a keyword of its own that must occur
-before it is tried: every licence's names in every template that grants, cites or mentions a
-licence. Rules are ordered by priority; where matches overlap, one that lies within another
-match is suppressed, and of equal places the rule of higher priority stays.
+some hundreds of rules, each a regular expression written by hand with a keyword of its own that
+must occur before it is tried: names of licences, which take what stands before them along (a
+grant, a citation, a mention, or nothing, each with a priority of its own), and sentences of
+licence texts and notices. Rules are ordered by priority; a match that lies within another of
+equal or higher priority is suppressed, and of equal places and priorities the earlier rule stays.
 
 Fixed phrases are found beside the rules: all places where their words stand consecutively.
 
@@ -79,36 +80,104 @@ def names() -> list[tuple[str, str, str]]:
     return out
 
 
-#: (priority, confidence, expression with the name's place); a lower priority number wins.
-TEMPLATES = [
-    (0, 1.0, "(?:licensed|released|distributed|published|available|provided|used|redistributed) under (?:the )?(?:terms (?:and conditions )?of )?(?:the |a |an )?{}"),
-    (0, 1.0, "spdx license identifier {}"),
-    (1, 0.95, "(?:subject to|governed by|covered by|according to) (?:the )?(?:terms (?:and conditions )?of )?(?:the |a |an )?{}"),
-    (2, 0.9, "under (?:the )?(?:terms (?:and conditions )?of )?(?:the |a |an )?{}"),
-    (3, 0.8, "(?:license|licence|licensed|licences|licenses) {}"),
-    (4, 0.6, "{}"),
+#: What may stand before a name: priority, confidence, expression; a lower priority number wins, and a bare name comes after them.
+_OF = "(?:the )?(?:terms (?:and conditions )?of )?(?:the |a |an )?"
+PREFIXES = [
+    (0, 1.0, f"(?:licensed|released|distributed|published|available|provided|used|redistributed) under {_OF}"),
+    (0, 1.0, "spdx license identifier "),
+    (1, 0.95, f"(?:subject to|governed by|covered by|according to) {_OF}"),
+    (2, 0.9, f"under {_OF}"),
+    (3, 0.8, "(?:license|licence|licensed|licences|licenses) "),
 ]
-OTHERS = [
-    (5, 0.5, "public-domain", "public domain", "(?:in|into|to) the public domain"),
-    (5, 0.5, "proprietary", "all rights reserved", "all rights reserved"),
+BARE = (4, 0.6)
+
+#: Names that have neither versions nor other forms: label, keyword, expression.
+MORE_NAMES = [
+    ("gfdl", "free documentation", f"(?:gnu )?free documentation {_LIC}(?: version)?(?: 1 [123])?"), ("ftl", "freetype", f"freetype(?: project)? {_LIC}"), ("ijg", "independent jpeg", f"independent jpeg group(?: s)? {_LIC}"),
+    ("libpng", "libpng", f"libpng {_LIC}"), ("curl", "curl", f"curl {_LIC}"), ("bzip2", "bzip2", f"bzip2 {_LIC}"), ("info-zip", "info zip", f"info zip {_LIC}"), ("icu", "icu", f"icu {_LIC}"), ("tcl", "tcl", f"tcl(?: tk)? {_LIC}"), ("beerware", "beerware", f"beerware(?: {_LIC})?"), ("beerware", "beer ware", f"beer ware(?: {_LIC})?"),
+    ("json", "json", f"json {_LIC}"), ("hpnd", "historical permission", "historical permission notice and disclaimer"), ("oldap", "openldap", f"openldap public {_LIC}(?: (?:version )?v?2 8)?"), ("npl", "netscape public", f"netscape public {_LIC}(?: (?:version )?1 [01])?"),
+    ("spl", "sun public", f"sun public {_LIC}"), ("ipl", "ibm public", f"ibm public {_LIC}"), ("qpl", "q public", f"q public {_LIC}"), ("sissl", "sun industry", f"sun industry standards source {_LIC}"), ("rpl", "reciprocal public", f"reciprocal public {_LIC}"), ("cpal", "public attribution", f"common public attribution {_LIC}"),
+    ("apsl", "apple public", f"apple public source {_LIC}(?: (?:version )?[12](?: [0-2])?)?"), ("intel", "intel open", f"intel open source {_LIC}"), ("lpl", "lucent public", f"lucent public {_LIC}"), ("nokos", "nokia open", f"nokia open source {_LIC}"), ("watcom", "watcom", f"(?:sybase open )?watcom(?: public)? {_LIC}"),
+    ("rpsl", "realnetworks", f"realnetworks public source {_LIC}"), ("vsl", "vovida", f"vovida software {_LIC}"), ("sleepycat", "sleepycat", f"sleepycat {_LIC}"), ("ngpl", "nethack", f"nethack general public {_LIC}"), ("naumen", "naumen", f"naumen public {_LIC}"), ("motosoto", "motosoto", f"motosoto {_LIC}"),
+    ("frameworx", "frameworx", f"frameworx(?: open)? {_LIC}"), ("fair", "fair", f"fair {_LIC}"), ("efl", "eiffel forum", f"eiffel forum {_LIC}(?: 2)?"), ("entessa", "entessa", f"entessa public {_LIC}"), ("aal", "attribution assurance", f"attribution assurance {_LIC}"), ("apl", "adaptive public", f"adaptive public {_LIC}"),
+    ("cua-opl", "cua office", f"cua office public {_LIC}"), ("catosl", "computer associates", f"computer associates trusted open source {_LIC}"), ("rscpl", "ricoh", f"ricoh source code public {_LIC}"), ("ogtsl", "open group", f"open group test suite {_LIC}"), ("nposl", "non profit open", f"non profit open software {_LIC}(?: 3 0)?"),
+    ("simpl", "simple public", f"simple public {_LIC}"), ("ms-lpl", "microsoft limited", f"microsoft limited public {_LIC}"), ("ms-rsl", "microsoft reference", f"microsoft reference source {_LIC}"), ("odc-by", "open data commons", f"open data commons attribution {_LIC}"), ("pddl", "public domain dedication", f"public domain dedication (?:and )?{_LIC}"),
+    ("cdla-permissive", "community data", f"community data {_LIC} agreement permissive(?: (?:version )?[12] 0)?"), ("cdla-sharing", "community data", f"community data {_LIC} agreement sharing(?: (?:version )?1 0)?"), ("ogl", "open government", f"open government {_LIC}(?: (?:version |v ?)?[123] 0)?"), ("etalab", "etalab", f"etalab open {_LIC}"),
+    ("nlod", "open government data", f"norwegian {_LIC} for open government data"), ("cern-ohl", "cern open hardware", f"cern open hardware {_LIC}(?: (?:version )?[12](?: [0-2])?)?(?: (?:strongly reciprocal|weakly reciprocal|permissive))?"), ("tapr-ohl", "tapr", f"tapr open hardware {_LIC}"), ("solderpad", "solderpad", f"solderpad hardware {_LIC}"),
+    ("mulan", "mulan", f"mulan (?:permissive software|public) {_LIC}(?: (?:version )?v?[12])?"), ("blueoak", "blue oak", f"blue oak model {_LIC}(?: 1 0 0)?"), ("hippocratic", "hippocratic", f"hippocratic {_LIC}(?: [123](?: [01])?)?"), ("commons-clause", "commons clause", f"commons clause(?: {_LIC})?"),
+    ("polyform", "polyform", f"polyform (?:noncommercial|small business|shield|strict|internal use|free trial|perimeter) {_LIC}(?: 1 0 [01])?"), ("ccl", "confluent community", f"confluent community {_LIC}"), ("rsal", "redis source", f"redis source available {_LIC}(?: (?:version |v ?)?[12])?"), ("tsl", "timescale", f"timescale {_LIC}"),
+    ("cockroach", "cockroach", f"cockroach(?:db)? community {_LIC}"), ("parity", "parity public", f"parity public {_LIC}(?: [67] 0 0)?"), ("prosperity", "prosperity public", f"prosperity public {_LIC}(?: [23] 0 0)?"), ("anti-996", "anti 996", f"anti 996 {_LIC}"), ("openrail", "openrail", f"(?:creativeml |bigscience |bigcode )?openrail(?: ?m)?(?: {_LIC})?"), ("openrail", "open rail", f"(?:creativeml |bigscience |bigcode )?open rail(?: m)?(?: {_LIC})?"),
+    ("llama", "llama", f"llama (?:[234](?: [0-9])? )?community {_LIC}"), ("gemma", "gemma", "gemma terms of use"), ("apple-sample", "apple sample", f"apple sample code {_LIC}"), ("oracle-bcl", "oracle binary", f"oracle binary code {_LIC}"), ("oracle-otn", "oracle technology", f"oracle technology network {_LIC}"), ("amazon", "amazon software", f"amazon software {_LIC}"),
+    ("unsplash", "unsplash", f"unsplash {_LIC}"), ("pexels", "pexels", f"pexels {_LIC}"), ("pixabay", "pixabay", f"pixabay {_LIC}"), ("ubuntu-font", "ubuntu font", f"ubuntu font {_LIC}"), ("bitstream-vera", "bitstream vera", f"bitstream vera(?: font)? {_LIC}"), ("gust-font", "gust font", f"gust font {_LIC}"), ("ipa-font", "ipa font", f"ipa font {_LIC}"),
+    ("perl", "same terms as perl", "same terms as perl(?: itself)?"), ("mit-0", "mit no attribution", "mit no attribution"), ("0bsd", "zero clause", f"zero clause bsd(?: {_LIC})?"), ("bsl-1", "bsl", "bsl 1 0"), ("cecill", "cecill", f"cecill(?: [bc])?(?: {_LIC})?(?: 2 [01])?"), ("ecos", "ecos", f"ecos {_LIC}"),
+]
+
+_ANY = lambda n: rf"(?:[^ ]+ ){{0,{n}}}?"
+#: Sentences of licence texts and notices, and statements of rights: priority, confidence, label, keyword, expression.
+SENTENCES = [
+    (0, 1.0, "mit", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    (1, 0.9, "mit", "this permission notice", "(?:the above copyright notice and )?this permission notice shall be included in all copies or substantial portions of the software"),
+    (0, 1.0, "boost-1", "permission is hereby granted", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    (0, 1.0, "isc", "permission to use", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted(?: provided that the above copyright notice)?"),
+    (1, 0.9, "hpnd", "permission to use", "permission to use copy modify (?:and )?distribute (?:and sell )?this software and its documentation for any purpose (?:and without fee )?is hereby granted"),
+    (0, 1.0, "bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted(?: provided that the following conditions are met)?"),
+    (0, 1.0, "bsd-3", "neither the name", f"neither the name of {_ANY(12)}nor the names of {_ANY(3)}contributors may be used to endorse or promote products derived from this software"),
+    (0, 1.0, "bsd-4", "advertising materials", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    (0, 1.0, "apache-2", "apache org", "you may obtain a copy of the license at https? www apache org licenses license 2 0"), (1, 0.95, "apache-2", "apache org", "apache org licenses license 2 0"),
+    (2, 0.8, "apache", "in compliance with the license", "you may not use this file except in compliance with the license"), (1, 0.9, "apache-1.1", "apache software foundation", "this product includes software developed by the apache software foundation"),
+    (0, 1.0, "gpl", "general public license", "you can redistribute it and or modify it under the terms of (?:version [23] of )?the gnu general public license"),
+    (0, 1.0, "lgpl", "general public license", "you can redistribute it and or modify it under the terms of (?:version [23] of )?the gnu (?:lesser|library) general public license"),
+    (0, 1.0, "agpl", "affero general public license", "you can redistribute it and or modify it under the terms of (?:version [13] of )?the gnu affero general public license"),
+    (0, 1.0, "gpl-2", "general public license", "gnu general public license as published by the free software foundation (?:either )?version 2"), (0, 1.0, "gpl-3", "general public license", "gnu general public license as published by the free software foundation (?:either )?version 3"),
+    (0, 1.0, "lgpl-2.1", "general public license", "gnu lesser general public license as published by the free software foundation (?:either )?version 2 1"), (0, 1.0, "lgpl-3", "general public license", "gnu lesser general public license as published by the free software foundation (?:either )?version 3"),
+    (0, 1.0, "lgpl-2", "library general public", "gnu library general public license as published by the free software foundation (?:either )?version 2"), (0, 1.0, "agpl-3", "affero general public", "gnu affero general public license as published by the free software foundation (?:either )?version 3"),
+    (1, 0.9, "gpl", "general public license", "you should have received a copy of the gnu general public license"), (1, 0.9, "lgpl", "general public license", "you should have received a copy of the gnu (?:lesser|library) general public license"), (1, 0.9, "agpl", "affero general public", "you should have received a copy of the gnu affero general public license"),
+    (1, 0.95, "gpl-2", "gnu org licenses", "gnu org licenses (?:old licenses )?gpl 2 0"), (1, 0.95, "gpl-3", "gnu org licenses", "gnu org licenses gpl 3 0"), (1, 0.95, "lgpl-2.1", "gnu org licenses", "gnu org licenses (?:old licenses )?lgpl 2 1"), (1, 0.95, "lgpl-3", "gnu org licenses", "gnu org licenses lgpl 3 0"),
+    (1, 0.95, "agpl-3", "gnu org licenses", "gnu org licenses agpl 3 0"), (1, 0.95, "gfdl", "gnu org licenses", "gnu org licenses fdl 1 [123]"), (1, 0.95, "gfdl", "free documentation", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    (0, 1.0, "mpl-2", "mozilla public license", "this source code form is subject to the terms of the mozilla public license v 2 0"), (0, 1.0, "mpl-2", "copy of the mpl", "if a copy of the mpl was not distributed with this file you can obtain one at"), (0, 1.0, "mpl-1.1", "mozilla public license", "the contents of this file are subject to the mozilla public license version 1 1"),
+    (1, 0.95, "mpl-2", "mozilla org mpl", "mozilla org mpl 2 0"), (0, 1.0, "epl-1", "eclipse public license", "accompanying materials are made available under the terms of the eclipse public license v(?:ersion)? ?1 0"), (0, 1.0, "epl-2", "eclipse public license", "accompanying materials are made available under the terms of the eclipse public license v(?:ersion)? ?2 0"),
+    (1, 0.95, "epl-1", "eclipse org", "eclipse org legal epl v10"), (1, 0.95, "epl-2", "eclipse org", "eclipse org legal epl (?:v20|2 0)"), (0, 1.0, "cddl", "common development and distribution", "the contents of this file are subject to the terms of the common development and distribution license"),
+    (1, 0.9, "zlib", "held liable", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"), (0, 1.0, "zlib", "misrepresented", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    (0, 1.0, "zlib", "altered source", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"), (1, 0.95, "boost-1", "boost org", "boost org license 1 0"), (0, 1.0, "unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    (1, 0.9, "unlicense", "anyone is free to copy", "anyone is free to copy modify publish use compile sell or distribute this software"), (1, 0.95, "unlicense", "unlicense org", "unlicense org"), (0, 1.0, "wtfpl", "what the", "do what the f[^ ]* you want to public license"), (1, 0.9, "wtfpl", "what the", "you just do what the f[^ ]* you want to"),
+    (0, 1.0, "cc0", "waived all copyright", f"to the extent possible under law {_ANY(12)}has waived all copyright and related or neighbou?ring rights to"), (1, 0.95, "cc0", "publicdomain zero", "creativecommons org publicdomain zero 1 0"), (1, 0.95, "public-domain", "publicdomain mark", "creativecommons org publicdomain mark 1 0"),
+    (1, 0.95, "cc-by", "creativecommons org", "creativecommons org licenses by [1-4] [05]"), (1, 0.95, "cc-by-sa", "creativecommons org", "creativecommons org licenses by sa [1-4] [05]"), (1, 0.95, "cc-by-nd", "creativecommons org", "creativecommons org licenses by nd [1-4] [05]"),
+    (1, 0.95, "cc-by-nc", "creativecommons org", "creativecommons org licenses by nc [1-4] [05]"), (1, 0.95, "cc-by-nc-sa", "creativecommons org", "creativecommons org licenses by nc sa [1-4] [05]"), (1, 0.95, "cc-by-nc-nd", "creativecommons org", "creativecommons org licenses by nc nd [1-4] [05]"),
+    (0, 1.0, "ofl", "this font software", "this font software is licensed under the sil open font license"), (1, 0.95, "ofl", "scripts sil org", "scripts sil org ofl"), (1, 0.8, "ofl", "reserved font name", "with reserved font names?"), (1, 0.95, "odbl", "opendatacommons org", "opendatacommons org licenses odbl"),
+    (1, 0.95, "odc-by", "opendatacommons org", "opendatacommons org licenses by"), (1, 0.95, "pddl", "opendatacommons org", "opendatacommons org licenses pddl"), (1, 0.9, "openssl", "openssl project", "this product includes software developed by the openssl project"), (1, 0.9, "ssleay", "eric young", "this product includes cryptographic software written by eric young"),
+    (1, 0.9, "php", "php software", "this product includes php software freely available from"), (1, 0.9, "x11", "x consortium", "the name of the x consortium shall not be used in advertising"), (1, 0.95, "json", "used for good", "the software shall be used for good not evil"), (1, 0.95, "beerware", "buy me a beer", "you can buy me a beer in return"),
+    (1, 0.9, "ijg", "independent jpeg group", "this software is based in part on the work of the independent jpeg group"), (1, 0.9, "ftl", "freetype project", f"portions of this software are copyright {_ANY(6)}the freetype project"), (1, 0.9, "ncsa", "to deal with the software", f"obtaining a copy of this software {_ANY(6)}to deal with the software without restriction"),
+    (1, 0.95, "mit", "opensource org", "opensource org licenses mit"), (1, 0.95, "apache-2", "opensource org", "opensource org licenses apache 2 0"), (1, 0.95, "bsd-3", "opensource org", "opensource org licenses bsd 3 clause"), (1, 0.95, "bsd-2", "opensource org", "opensource org licenses bsd 2 clause"), (1, 0.95, "isc", "opensource org", "opensource org licenses isc"),
+    (1, 0.95, "gpl-3", "opensource org", "opensource org licenses gpl 3 0"), (1, 0.95, "gpl-2", "opensource org", "opensource org licenses gpl 2 0"), (1, 0.95, "artistic-2", "opensource org", "opensource org licenses artistic license 2 0"), (1, 0.95, "zlib", "opensource org", "opensource org licenses zlib"),
+    (5, 0.5, "public-domain", "public domain", "(?:in|into|to) the public domain"), (5, 0.5, "public-domain", "public domain", "public domain (?:work|dedication|mark|software)"), (5, 0.5, "public-domain", "no rights reserved", "no rights reserved"), (5, 0.5, "proprietary", "all rights reserved", "all rights reserved"),
+    (5, 0.5, "proprietary", "proprietary", "(?:confidential and proprietary|proprietary and confidential)"), (5, 0.5, "proprietary", "unauthorized", f"unauthorized (?:copying|reproduction|use|distribution|duplication) {_ANY(10)}(?:is|are) (?:strictly )?prohibited"), (5, 0.5, "proprietary", "may be reproduced", f"no part of this {_ANY(3)}may be reproduced"),
+    (5, 0.5, "proprietary", "may not be", "may not be (?:reproduced|copied|distributed|republished) (?:in whole or in part )?without (?:the )?(?:prior |express )?(?:written )?(?:permission|consent)"), (5, 0.5, "eula", "end user", f"end user {_LIC} agreement"), (5, 0.4, "shareware", "shareware", "this (?:program|software) is shareware"),
     (6, 0.2, "unknown", "under", f"(?:licensed|released|distributed) under [^ ]+(?: [^ ]+){{0,5}}? {_LIC}"),
-]
+]
+
+
+def named() -> list[tuple[str, str, str]]:
+    """(label, keyword, expression) of all names."""
+    return names() + MORE_NAMES
 
 
 def rules() -> list[dict]:
-    """All rules in order: priority, confidence, label, keyword, pattern over a line of words."""
-    out = [{"prio": p, "conf": c, "label": label, "key": key, "pattern": f" {t.format(name)}(?= )"} for p, c, t in TEMPLATES for label, key, name in names()]
-    out += [{"prio": p, "conf": c, "label": label, "key": key, "pattern": f" {name}(?= )"} for p, c, label, key, name in OTHERS]
-    return sorted(out, key=lambda r: r["prio"])
+    """All rules: label, keyword, pattern over a line of words, and the priority and confidence of a match whose first group is empty.
+
+    A name's first group is what stands before it; a sentence's is always empty.
+    """
+    before = "|".join(p for _, _, p in PREFIXES)
+    out = [{"prio": BARE[0], "conf": BARE[1], "label": label, "key": key, "pattern": f" ((?:{before})?){name}(?= )"} for label, key, name in named()]
+    return out + [{"prio": p, "conf": c, "label": label, "key": key, "pattern": f" (){text}(?= )"} for p, c, label, key, text in SENTENCES]
 
 
 def gate() -> str:
     """A regular expression that every text with a match of a rule or a phrase fits.
 
-    What a rule needs is the word licence, where its expression has it other than as an option, or else its keyword.
+    What a rule needs is the word licence, where a name has it other than as an option, or else its keyword.
     """
-    needed = [("license" if _LIC in name.replace(f"(?: {_LIC})?", "") else key) for _, key, name in names()]
-    needed += ["license" if _LIC in name else key for _, _, _, key, name in OTHERS]
+    needed = [("license" if _LIC in name.replace(f"(?: {_LIC})?", "") else key) for _, key, name in named()]
+    needed += ["license" if _LIC in text else key for _, _, _, key, text in SENTENCES]
     needed += [phrase for phrase, _ in PHRASES]
     each = sorted({x for x in needed if not re.search("licen[sc]e", x)})
     return "(?i)licen[sc]e|" + "|".join(x.replace(" ", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+") for x in each)
@@ -124,28 +193,77 @@ def line_of_words(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, f"{_SEP}+", " ")), F.lit(" "))
 
 
+FOUND = "array<struct<start:int,stop:int,prio:int,label:string,conf:double>>"
+#: Matches that are gone over together.
+BLOCK = 256
+
+
 def matches(line: Column) -> Column:
     """array<struct<start, stop, prio, label, conf>>: the rules' matches that are not suppressed, by place."""
-    kind = "array<struct<prio:int,conf:double,label:string,key:string,pattern:string>>"
-    table = F.from_json(F.lit(json.dumps(rules())), kind)
-    found = "array<struct<start:int,stop:int,prio:int,label:string,conf:double>>"
+    groups: dict[str, list[dict]] = {}
+    for i, r in enumerate(rules()):
+        groups.setdefault(r.pop("key"), []).append(r | {"rule": i})
+    kind = "array<struct<key:string,rules:array<struct<prio:int,conf:double,label:string,pattern:string,rule:int>>>>"
+    table = F.from_json(F.lit(json.dumps([{"key": k, "rules": v} for k, v in groups.items()])), kind)
+
+    def graded(r: Column, before: Column, column: int) -> Column:
+        """The priority (0) or confidence (1) of a match, by what stands before the name."""
+        out = r["prio"].cast("double") if column == 0 else r["conf"]
+        for p in reversed(PREFIXES):
+            out = F.when(before.rlike(f"^(?:{p[2]})$"), F.lit(float(p[column]))).otherwise(out)
+        return F.when(before == "", r["prio"].cast("double") if column == 0 else r["conf"]).otherwise(out)
+
+    def hits(text: Column, r: Column) -> Column:
+        def one(s: Column) -> Column:
+            grade = [graded(r, s["value"], k) for k in (0, 1)]
+            return F.struct(s["start"].alias("start"), (-s["stop"]).alias("back"), grade[0].cast("int").alias("prio"), r["rule"].alias("rule"), r["label"].alias("label"), grade[1].alias("conf"))
+
+        return F.transform(F.filter(located(text, r["pattern"], 1), lambda s: s["stop"] > s["start"]), one)
 
     def tried(text: Column) -> Column:
-        near = F.filter(table, lambda r: F.contains(text, r["key"]))
-        hits = F.transform(
-            near,
-            lambda r: F.transform(
-                located(text, r["pattern"]), lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("back"), r["prio"].alias("prio"), r["label"].alias("label"), r["conf"].alias("conf"))
-            ),
-        )
-        return F.array_sort(F.flatten(hits))  # by start, then the longest, then priority
+        near = F.flatten(F.transform(F.filter(table, lambda g: F.contains(text, g["key"])), lambda g: g["rules"]))
+        fit = F.filter(near, lambda r: F.rlike(text, r["pattern"]))
+        return F.array_sort(F.flatten(F.transform(fit, lambda r: hits(text, r))))  # by start, then the longest, then priority and rule
+
+    return unsuppressed(let(line, tried))
+
+
+def unsuppressed(found: Column) -> Column:
+    """Of matches by start, the longest first, then priority and rule: those within none of equal or higher priority.
+
+    A match that starts later, or is shorter, contains none; so the farthest end so far of each
+    priority or a higher one decides, and what suppresses may itself be suppressed: its own
+    suppressor contains both.
+    """
+    levels = range(max(r["prio"] for r in rules()) + 1)
+
+    def within(p: int):
+        return lambda h: h["prio"] <= p
+
+    def farther(far: Column, block: Column) -> Column:
+        ends = [F.array_max(F.transform(F.filter(block, within(p)), lambda h: -h["back"])) for p in levels]
+        return F.array(*[F.greatest(far[p], e) for p, e in zip(levels, ends, strict=True)])
 
     def step(acc: Column, h: Column) -> Column:
         one = F.struct(h["start"].alias("start"), (-h["back"]).alias("stop"), h["prio"].alias("prio"), h["label"].alias("label"), h["conf"].alias("conf"))
-        return F.when(-h["back"] > acc["far"], F.struct((-h["back"]).alias("far"), F.concat(acc["out"], F.array(one)).alias("out"))).otherwise(acc)
+        far = F.transform(acc["far"], lambda e, p: F.when(p >= h["prio"], F.greatest(e, -h["back"])).otherwise(e))
+        return F.when(-h["back"] > F.element_at(acc["far"], h["prio"] + 1), F.struct(far.alias("far"), F.concat(acc["out"], F.array(one)).alias("out"))).otherwise(acc)
+
+    none = F.array(*[F.lit(-1) for _ in levels])
+
+    def blocks(hs: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.greatest(F.size(hs) - 1, F.lit(0)), F.lit(BLOCK)), lambda i: F.slice(hs, i + 1, F.lit(BLOCK)))
+        first = F.struct(none.alias("far"), F.array().cast("array<array<int>>").alias("out"))
+
+        def bases(bs: Column) -> Column:
+            return F.aggregate(bs, first, lambda acc, b: F.struct(farther(acc["far"], b).alias("far"), F.concat(acc["out"], F.array(acc["far"])).alias("out")), lambda acc: acc["out"])
+
+        def kept(b: Column, far: Column) -> Column:
+            return F.aggregate(b, F.struct(far.alias("far"), F.array().cast(FOUND).alias("out")), step, lambda acc: acc["out"])
+
+        return F.flatten(let(each, lambda bs: F.zip_with(bs, bases(bs), kept)))
 
-    start = F.struct(F.lit(-1).alias("far"), F.array().cast(found).alias("out"))
-    return F.aggregate(let(line, tried), start, step, lambda acc: acc["out"])
+    return let(found, blocks)
 
 
 def phrase_places(line: Column, n_words: Column, phrase: str) -> dict[str, Column]:
@@ -171,7 +289,7 @@ def licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     lined = thin.select("id", F.regexp_count("t", F.lit(word)).cast("long").alias("n_words"), F.when(F.col("t").rlike(GATE), line_of_words(F.col("t"))).alias("line"))
     named = F.struct(*[phrase_places(F.col("line"), F.col("n_words"), p).alias(f"p{i}") for i, (p, _) in enumerate(PHRASES)])
-    none = F.array().cast("array<struct<start:int,stop:int,prio:int,label:string,conf:double>>")
+    none = F.array().cast(FOUND)
     gated = F.col("line").isNotNull()
     out = lined.select("id", "n_words", F.when(gated, named).alias("phrases"), F.when(gated, matches(F.col("line"))).otherwise(none).alias("found"))
     return out.withColumnRenamed("id", id_col)

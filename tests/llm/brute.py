@@ -155,5 +155,22 @@ def licenses(text):
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
 
 
+def license_matches(text, rules, prefixes):
+    """rules: [(priority, confidence, label, pattern)] -> [(start, stop, priority, label, confidence)] that lie within no match of equal or higher priority."""
+    line = " " + " ".join(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(text or ""))) + " "
+    found = []
+    for k, (prio, conf, label, pattern) in enumerate(rules):
+        for m in pattern.finditer(line):
+            grade = next(((p, c) for p, c, expr in prefixes if re.fullmatch(expr, m[1])), (prio, conf)) if m[1] else (prio, conf)
+            found.append((m.start(), -m.end(), grade[0], k, label, grade[1]))
+    found.sort()
+    out = []
+    for i, (a, b, p, _, label, c) in enumerate(found):
+        within = (x for j, x in enumerate(found) if j != i and x[0] <= a and x[1] <= b and x[2] <= p)
+        if not any(x[:3] != (a, b, p) or x < found[i] for x in within):
+            out.append((a, -b, p, label, c))
+    return sorted(out)
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())

@@ -343,8 +343,8 @@ def samples(pattern):
 
 def named_texts():
     """(label, keyword, text) of what each rule fits, in its last template, which is its name alone."""
-    said = [(label, key, text) for label, key, name in license_scan.names() for text in samples(name)]
-    return said + [(label, key, text) for _, _, label, key, name in license_scan.OTHERS for text in samples(name)]
+    said = [(label, key, text) for label, key, name in license_scan.named() for text in samples(name)]
+    return said + [(label, key, text) for _, _, label, key, name in license_scan.SENTENCES for text in samples(name)]
 
 
 def test_license_gate_passes_what_rules_fit(spark):
@@ -356,12 +356,43 @@ def test_license_gate_passes_what_rules_fit(spark):
     assert got == dict(enumerate(texts.values()))
 
 
+def test_license_priority_and_containment(spark):
+    said = {
+        "released under foo and the MIT License": "mit,unknown", "Licensed under the MIT License": "mit", "released under the terms of the Foo License": "unknown",
+        "GNU Lesser General Public License version 2.1": "lgpl-2.1", "Licensed under the GNU Affero General Public License v3.0 only": "agpl-3",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files": "mit",
+        "Neither the name of the Example Foundation nor the names of its contributors may be used to endorse or promote products derived from this software": "bsd-3",
+        "to the public domain. Dual: BSD-2-Clause, Apache License 1.1; http://creativecommons.org/licenses/by-nd/3.0": "apache-1.1,bsd-2,cc-by-nd,public-domain",
+    }
+    got = {r["doc_id"]: r["labels"] for r in license_scan.digest(license_scan.licenses(some(spark, list(enumerate(said))))).collect()}
+    assert got == dict(enumerate(said.values()))
+    assert len(license_scan.named()) + len(license_scan.SENTENCES) >= 250
+
+
+def test_licenses_against_plain_rules(spark, texts):
+    rng = random.Random(24)
+    words = [text for _, _, text in named_texts()]
+    before = ["licensed under the", "under the terms of", "SPDX-License-Identifier:", "subject to", "license", "released under foo and", "", "and", "published under a"]
+    made = [*texts, "the MIT License " * 700, "released under x the Apache License 2.0 or GPLv2 " * 300]
+    made += [" ".join(f"{rng.choice(before)} {rng.choice(words)}" for _ in range(rng.randrange(1, 9))).title() for _ in range(150)]
+    got = {r["doc_id"]: sorted(tuple(m) for m in r["found"]) for r in license_scan.licenses(some(spark, list(enumerate(made)))).collect()}
+    plain = [(r["prio"], r["conf"], r["label"], re.compile(r["pattern"])) for r in license_scan.rules()]
+    for i, t in enumerate(made):
+        assert got[i] == brute.license_matches(t, plain, license_scan.PREFIXES), t
+
+
+def test_licenses_of_odd_rows(spark):
+    table = some(spark, [(None, "the MIT License"), (1, "the MIT License"), (1, "the MIT License"), (2, None)]).withColumns({c: F.lit("x") for c in ("t", "line", "id", "found", "phrases", "n_words")})
+    got = rows(license_scan.digest(license_scan.licenses(table)), "doc_id", "labels", "n_words")
+    assert got == [(1, "mit", 3), (1, "mit", 3), (2, "", 0), (None, "mit", 3)]
+
+
 def test_every_license_rule_has_a_keyword_of_its_texts(spark):
     said = named_texts()
     assert not [(label, key, text) for label, key, text in said if key not in text]
     assert all(len(key) > 1 and not re.search(r"[^a-z0-9 ]", key) for _, key, _ in said)
     for r in license_scan.rules():
-        text = samples(r["pattern"].removesuffix("(?= )"))[0]
+        text = samples(r["pattern"].removesuffix("(?= )"))[0]  # the name alone
         assert r["key"] in text and re.search(r["pattern"], text + " "), r
     texts = {"Under the SIL Open Font License, Version 1.1": "ofl-1.1", "the Open Font Licence": "ofl", "SPDX-License-Identifier: SIL Open Font License 1.0": "ofl-1"}
     got = {r["doc_id"]: r["labels"] for r in license_scan.digest(license_scan.licenses(some(spark, list(enumerate(texts))))).collect()}
