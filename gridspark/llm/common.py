@@ -16,8 +16,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
+
+def chars(*ranges: tuple[int, int]) -> str:
+    """A regex class body that lists every character below U+0100 of some ranges: Java looks such a set up, and goes through ranges one by one."""
+    return "".join(f"\\x{c:02X}" for a, b in ranges for c in range(a, b + 1))
+
+
 #: The whitespace of the word definition ``[^\x20\x09-\x0D]+``, as a regex class body.
-WS = r"\x20\x09-\x0D"
+WS = chars((0x20, 0x20), (0x09, 0x0D))
 #: Rows and bytes that one Arrow batch may carry, so that a run of long texts stays small.
 BATCH_ROWS, BATCH_BYTES = 2500, 8 << 20
 

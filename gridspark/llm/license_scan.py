@@ -22,13 +22,15 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import chars, let
 from .secret_scan import located
 
 # The phrases and their labels.
 PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
-_SEP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+#: What parts words, of a text and, with A-Z among it, of a lower-case one.
+_APART = chars((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
+_SEP = f"[{chars((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))}]"
 _LIC = "(?:license|licence)"
 
 
@@ -172,18 +174,31 @@ def rules() -> list[dict]:
 
 
 def gate() -> str:
-    """A regular expression that every text with a match of a rule or a phrase fits.
+    """A regular expression that the lower case of every text with a match of a rule or a phrase fits.
 
     What a rule needs is the word licence, where a name has it other than as an option, or else its keyword.
+    The needed words begin words, and common beginnings are tried once.
     """
     needed = [("license" if _LIC in name.replace(f"(?: {_LIC})?", "") else key) for _, key, name in named()]
     needed += ["license" if _LIC in text else key for _, _, _, key, text in SENTENCES]
     needed += [phrase for phrase, _ in PHRASES]
-    each = sorted({x for x in needed if not re.search("licen[sc]e", x)})
-    return "(?i)licen[sc]e|" + "|".join(x.replace(" ", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+") for x in each)
+    tree: dict = {}
+    for x in ["license", "licence", "unlicense", *(x for x in needed if not re.search("licen[sc]e", x))]:
+        node = tree
+        for c in x:
+            node = node.setdefault(c, {})
+        node[""] = {}
 
+    def written_out(node: dict) -> str:
+        if "" in node:
+            return ""
+        each = [(f"[{_APART}]+" if c == " " else c) + written_out(more) for c, more in sorted(node.items())]
+        return each[0] if len(each) == 1 else f"(?:{'|'.join(each)})"
 
-#: Texts that do not fit this name no licence.
+    return f"(?<![a-z0-9])(?=[{''.join(sorted(tree))}]){written_out(tree)}"
+
+
+#: Texts whose lower case does not fit this name no licence.
 GATE = gate()
 
 
@@ -286,8 +301,7 @@ def licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """(id, n_words, phrases, found): per phrase struct<n, first, last>, and the rules' matches, a row a row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     thin = df.select(F.col(id_col).alias("id"), text.alias("t"))
-    word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    lined = thin.select("id", F.regexp_count("t", F.lit(word)).cast("long").alias("n_words"), F.when(F.col("t").rlike(GATE), line_of_words(F.col("t"))).alias("line"))
+    lined = thin.select("id", F.regexp_count("t", F.lit(f"[^{_APART}]+")).cast("long").alias("n_words"), F.when(F.lower("t").rlike(GATE), line_of_words(F.col("t"))).alias("line"))
     named = F.struct(*[phrase_places(F.col("line"), F.col("n_words"), p).alias(f"p{i}") for i, (p, _) in enumerate(PHRASES)])
     none = F.array().cast(FOUND)
     gated = F.col("line").isNotNull()

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, let
+from .common import WS, chars, let
 
 #: (name, failure as SQL over the measurements). A rule's bit is its place; places never change, new rules go at the end.
 RULES: list[tuple[str, str]] = [
@@ -94,8 +94,8 @@ def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
             "n_symbols": (size - left(r"[#*$%&|<>]+")).cast("long"),
             "__l": lines,
             "n_repeat_words": F.when(F.size(F.array_distinct("__h")) < F.size("__h"), _repeats(F.col("__h"))).otherwise(F.lit(0)).cast("long"),
-            "n_marks": (size - left(r"[\x21-\x40\x5B-\x60\x7B-\x7E]+")).cast("long"),
-            "n_upper": (size - left(r"[A-Z\u00C0-\u00D6\u00D8-\u00DE]+")).cast("long"),
+            "n_marks": (size - left(f"[{chars((0x21, 0x40), (0x5B, 0x60), (0x7B, 0x7E))}]+")).cast("long"),
+            "n_upper": (size - left(f"[{chars((0x41, 0x5A), (0xC0, 0xD6), (0xD8, 0xDE))}]+")).cast("long"),
         }
     )
     return found.withColumns({"n_lines": F.size("__l").cast("long"), "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long")}).drop("__t", "__w", "__h", "__l")

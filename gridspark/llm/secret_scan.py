@@ -31,14 +31,15 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import chars, let, written
 
 # The kinds in order, with pattern, number of the group that counts, and its least length.
 KINDS = ["assign", "access", "hex", "random"]
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]{24,}"  # runs are whole, so the least length can stand in the pattern
-RUN = "[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?"
+_RUN = chars((48, 57), (65, 90), (97, 122)) + r"+/_\-"
+RUN = f"[{_RUN}]{{20,}}(?:=+(?![{_RUN}=]))?"
 #: Runs of more than one alphabet, and what of them is tested besides the whole.
 MIXED = ["[+/]", "[_-]"]
 PARTS = ["[A-Za-z0-9+/]{20,}=*", "[A-Za-z0-9_-]{20,}=*"]
