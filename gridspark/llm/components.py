@@ -13,11 +13,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): each node of ``edges`` with the smallest node it is connected to."""
+    """(node, component): each node of ``edges`` with the smallest node it is connected to, as a table."""
     now = _tidy(edges.select(F.col(a).alias("u"), F.col(b).alias("v")))
     now = written(now, "edges")
     mark = _mark(now)
@@ -30,11 +30,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         then = written(_tidy(small), "edges")
         found = _mark(then)
+        release(now)
         now, same, mark = then, found == mark, found
         if same:
             break
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return leaves.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = written(leaves.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    release(now)
+    return out
 
 
 def _tidy(pairs: DataFrame) -> DataFrame:

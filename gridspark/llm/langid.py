@@ -8,8 +8,10 @@ documents, which decides between equal sizes. Where the runner-up is nearly as s
 prediction is marked as rejected.
 
 The dictionaries are the only thing learned. They are fitted on a bounded sample: per language
-the ``DOCS`` distinct training texts with the smallest hash, ``PIECE`` characters of each from a
-hashed place, so that neither copies nor a common opening fill a dictionary.
+the ``DOCS`` distinct training texts with the smallest hash, whole or, of a text longer than
+``PIECE`` characters, ``CUTS`` cuts spread evenly over all of it from a hashed place in its first
+part on, so that neither copies nor a common opening fill a dictionary. Each text is compressed
+once a language, so the time grows with the number of languages that the labels have.
 
 Defined results: a null text or one without a letter is ``und`` with score 0. Texts of a null
 language are not learned from. Without training documents everything is ``und``. Rows keep their
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import tune
 
-#: Bounds of the fit: documents a language and characters of each. Languages are the label's values.
-DOCS, PIECE = 128, 1024
+#: Bounds of the fit: documents a language, characters of each, and the cuts that these come from. Languages are the label's values.
+DOCS, PIECE, CUTS = 128, 1024, 8
 #: Bytes of text that are compressed at once.
 BLOCK, LEVEL = 4096, 3
 #: A margin between the two smallest sizes, relative to the smaller, below which a prediction is rejected.
@@ -58,8 +60,11 @@ def dictionaries(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     key = [F.col(lang_col).alias("lang"), F.xxhash64(text, F.lit(7)).alias("h")]
     # Only hashes are exchanged; texts are cut where they are read.
     best = rows.select(*key).distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= DOCS)
-    place = F.pmod(F.xxhash64("text", F.lit(11)), F.greatest(F.length("text") - PIECE + 1, F.lit(1))).cast("int") + 1
-    pieces = rows.select(*key, text.alias("text")).join(F.broadcast(best), ["lang", "h"]).groupBy("lang", "k").agg(F.min(F.substring(F.col("text"), place, F.lit(PIECE))).alias("piece"))
+    size = PIECE // CUTS - 1
+    first = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1000)) / 1000.0
+    cuts = [F.substring("text", ((first + i) * (F.length("text") - size) / CUTS).cast("int") + 1, F.lit(size)) for i in range(CUTS)]
+    piece = F.when(F.length("text") <= PIECE, F.col("text")).otherwise(F.concat_ws(" ", *cuts))
+    pieces = rows.select(*key, text.alias("text")).join(F.broadcast(best), ["lang", "h"]).groupBy("lang", "k").agg(F.min(piece).alias("piece"))
     out: dict[str, list] = {}
     for r in sorted(pieces.collect()):
         out.setdefault(r["lang"], []).append(r["piece"])

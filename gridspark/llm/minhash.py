@@ -9,12 +9,16 @@ a probability of 2e-8.
 Documents with one set are a class, and only classes are compared. In every bucket the smallest
 class is the hub and is compared with the others, on full sets. Links merge classes into
 components. What buckets are then left with more than one component go through an exact prefix
-join: shingles are put in one order, by how often a sketch of fixed size has counted them, rare
-ones first; two sets that reach the threshold share a shingle near the start of both, at
+join: shingles are put in one order, by how often a sketch has counted them, rare ones first (its
+cells are as many as the shingles it counts, within ``CELLS``; the order changes the work, never
+the result); two sets that reach the threshold share a shingle near the start of both, at
 positions that their sizes bound. So a family of near copies that are just too different for a
 link is told apart by its rare shingles, and neither bucket nor family becomes all its pairs.
-Buckets, pairs and components are tables: only the sketch's cells, of a fixed number, and the
-components' row counts reach the driver.
+Buckets, pairs and components are tables, deleted as soon as no plan reads them: only a byte a
+cell of the sketch and the components' row counts reach the driver.
+
+Words, and the sets that links are confirmed on, are compared as 64-bit hashes: that two texts
+with a million shingles between them count one as common by collision has a chance under 1e-7.
 
 Defined results: a null, empty or blank text has no shingles and is linked with nothing. A text
 with fewer words than a shingle has one, its whole word sequence. Rows with one doc_id are one
@@ -32,14 +36,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import light, tune, written
+from .common import light, parts, release, tidy, tune, written
 from .components import components
 
 PERMUTATIONS, ROWS = 48, 4
 #: Bytes of text that are hashed together.
 SECTION = 1 << 19
-#: Cells of the sketch that orders shingles, as a power of two.
-CELLS = 18
+#: Least and most cells of the sketch that orders shingles, as powers of two.
+CELLS = (18, 22)
 
 U = np.uint64
 _random = np.random.default_rng(20240229)
@@ -163,8 +167,7 @@ def signatures(df: DataFrame, size: int, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for part in parts(batch):
                 sets = shingle_sets(words, part.column(1), size)
                 full = [k for k, s in enumerate(sets) if len(s)]
                 got: list = [None] * len(sets)
@@ -178,11 +181,11 @@ def signatures(df: DataFrame, size: int, id_col: str = "doc_id", text_col: str =
                     names=["id", "n", "h1", "h2", "bands"],
                 )
 
-    return thin.mapInArrow(run, "id long, n long, h1 long, h2 long, bands array<long>")
+    return thin.mapInArrow(tidy(run), "id long, n long, h1 long, h2 long, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold; ``texts`` is (id, text)."""
+    """The pairs (a, b) whose full sets reach the threshold, as a table; ``texts`` is (id, text)."""
     need = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
     some = texts.join(light(need), "id", "left_semi")
     one = pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -191,8 +194,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen, b_set = Words(), None, None
         for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
+            for part in parts(batch, 2):
                 a_sets = shingle_sets(words, part.column(2), size)
                 yes = []
                 for k, (b, s) in enumerate(zip(part.column(1).to_pylist(), a_sets, strict=True)):
@@ -203,56 +205,62 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
                     yes.append(common > 0 and 100 * common >= percent * (len(s) + len(b_set) - common))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    links = written(both.mapInArrow(tidy(run), "a long, b long").distinct(), "links")
+    release(need)
+    return links
 
 
-def sketch(nodes: DataFrame, size: int) -> np.ndarray:
-    """How often shingles fall in each of ``1 << CELLS`` cells, over all sets of ``nodes`` (text); at most a row a cell is collected."""
+def sketch(nodes: DataFrame, size: int, shingles: int) -> np.ndarray:
+    """How often shingles fall in each cell, over all sets of ``nodes`` (text), in quarters of a power of two; a byte a cell is collected."""
+    bits = min(max(CELLS[0], shingles.bit_length()), CELLS[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = Words(), np.zeros(1 << CELLS, np.int64)
+        words, counts = Words(), np.zeros(1 << bits, np.int64)
         for batch in batches:
             for s in shingle_sets(words, batch.column(0), size):
-                np.add.at(counts, (s >> U(64 - CELLS)).astype(np.int64), 1)
+                np.add.at(counts, (s >> U(64 - bits)).astype(np.int64), 1)
         hit = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(counts[hit])], names=["cell", "n"])
-
-    out = np.zeros(1 << CELLS, np.int64)
-    for cell, n in nodes.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect():
-        out[cell] = n
-    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
+        for i in range(0, len(hit), 1 << 16):
+            some = hit[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["cell", "n"])
+
+    out = np.zeros(1 << bits, np.uint8)
+    level = F.floor(F.log2(F.sum("n").cast("double")) * 4).cast("int") + 1
+    got = nodes.select("text").mapInArrow(tidy(run), "cell int, n long").groupBy("cell").agg(level.cast("short").alias("level")).toArrow()
+    out[got["cell"].to_numpy()] = got["level"].to_numpy()
+    return out
 
 
-def prefix_pairs(nodes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that may reach the threshold; ``nodes`` is (node, component, text). None that does is missing.
+def prefix_pairs(nodes: DataFrame, size: int, percent: int, shingles: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of different components that may reach the threshold, and the table they read; ``nodes`` is (node, component, text). None that does is missing.
 
     Of two sets with sizes x and y that reach it, at least ``percent * (x + y) / (100 + percent)``
     shingles are common, so the first common one in any order stands among the first x less that
     number plus one of the first set, and likewise of the second. The smaller set's bound is at
     most its own with y = x: those rows alone are looked up.
     """
-    counted = sketch(nodes, size)
+    counted = sketch(nodes, size, shingles)
+    shift = U(64 - (len(counted).bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for part in parts(batch, 2):
                 rows: list[list] = [[], [], [], [], [], []]
                 for node, comp, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), shingle_sets(words, part.column(2), size), strict=True):
                     n = len(s)
-                    first = s[np.lexsort((s, counted[(s >> U(64 - CELLS)).astype(np.int64)]))[: n - -(-percent * n // 100) + 1]]
+                    first = s[np.lexsort((s, counted[(s >> shift).astype(np.int64)]))[: n - -(-percent * n // 100) + 1]]
                     short = n - -(-2 * percent * n // (100 + percent)) + 1
                     for col, x in zip(rows, (first.view(np.int64), np.full(len(first), node), np.full(len(first), comp), np.full(len(first), n), np.arange(1, len(first) + 1), np.arange(len(first)) < short), strict=True):
                         col.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in rows], names=["s", "node", "c", "n", "pos", "short"])
 
-    rows = written(nodes.select("node", "component", "text").mapInArrow(run, "s long, node long, c long, n long, pos long, short boolean"), "prefixes")
+    rows = written(nodes.select("node", "component", "text").mapInArrow(tidy(run), "s long, node long, c long, n long, pos long, short boolean"), "prefixes")
     small = rows.where("short").select("s", *[F.col(x).alias(f"{x}2") for x in ("node", "c", "n", "pos")])
     need = f"(({percent} * (n + n2) + {99 + percent}) div {100 + percent})"
     fits = f"(n2 < n or (n2 = n and node2 < node)) and c <> c2 and 100 * n2 >= {percent} * n and pos <= n - {need} + 1 and pos2 <= n2 - {need} + 1"
     met = rows.alias("r").join(small.alias("q"), (F.col("r.s") == F.col("q.s")) & F.expr(fits))
-    return met.select(F.greatest("node", "node2").alias("a"), F.least("node", "node2").alias("b")).distinct()
+    return met.select(F.greatest("node", "node2").alias("a"), F.least("node", "node2").alias("b")).distinct(), rows
 
 
 def near_duplicates(df: DataFrame, size: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,17 +280,23 @@ def near_duplicates(df: DataFrame, size: int = 3, percent: int = 85, id_col: str
     shared = written(rows.join(hubs.select("bucket", F.col("hub.node").alias("b"), F.col("hub.n").alias("bn")), "bucket"), "shared")
     near = F.expr(f"100 * least(n, bn) >= {percent} * greatest(n, bn)")
     pairs = written(shared.where(near & (F.col("node") > F.col("b"))).select(F.col("node").alias("a"), "b").distinct(), "pairs")
-    first = written(verified(pairs, texts, size, percent), "links")
-    merged = written(components(first), "merged")
+    first = verified(pairs, texts, size, percent)
+    release(pairs)
+    merged = components(first)
 
-    owned = shared.join(merged, shared.node == merged.node, "left").select(shared.node, "bucket", F.coalesce("component", shared.node).alias("component"))
+    owned = shared.join(merged, shared.node == merged.node, "left").select(shared.node, "n", "bucket", F.coalesce("component", shared.node).alias("component"))
     open_ = owned.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("high > low").select("bucket")
-    left = written(owned.join(open_, "bucket", "left_semi").select("node", "component").distinct(), "left")
+    left = written(owned.join(open_, "bucket", "left_semi").select("node", "component", "n").distinct(), "left")
+    release(shared, merged)
     bodies = written(texts.join(light(left), texts.id == left.node).select("node", "component", "text"), "bodies")
-    second = verified(prefix_pairs(bodies, size, percent), bodies.select(F.col("node").alias("id"), "text"), size, percent)
+    met, prefixes = prefix_pairs(bodies, size, percent, left.agg(F.sum("n")).first()[0] or 0)
+    pairs = written(met, "pairs")
+    second = verified(pairs, bodies.select(F.col("node").alias("id"), "text"), size, percent)
     links = written(first.union(second), "links")
+    release(first, second, left, bodies, prefixes, pairs)
 
-    final = written(components(links), "components")
+    final = components(links)
+    release(links)
     named = classes.select("h1", "h2", "node").join(final, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
     known = full.select("id", "n", "h1", "h2").join(named, ["h1", "h2"]).select("id", "n", "component")
     alone = signed.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))

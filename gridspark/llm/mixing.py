@@ -11,8 +11,9 @@ by that epoch; a document is in the prefix if the tokens before it are fewer tha
 The prefix needs a running sum over a leaf's documents, and one leaf may hold a third of all
 rows. So the seeded order is cut into ``16 ** BIN_DIGITS`` ranges of the hash: sums of ranges are
 pre-aggregated and run over ranges, ranges wholly within or beyond the budget are decided at
-once, and only the one range where a leaf's budget ends is summed document by document. Small
-tables of leaves and ranges are all that is windowed by leaf.
+once, and the one range where a leaf's budget ends is cut again in the same way until it has at
+most ``SMALL`` rows, which are summed document by document. Small tables of leaves and ranges are
+all that is windowed by leaf. Capacities are summed as decimals, so no order of sums shows.
 
 Defined results: a null level is a value of its own. A null or empty text has no tokens; a
 document without tokens is taken as often as its leaf's whole epochs, and also in the prefix if
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import WS, written
 
-#: Hexadecimal digits of the seeded hash that number a leaf's ranges.
-BIN_DIGITS = 3
+#: Hexadecimal digits of the seeded hash that number the ranges of a cut, and rows of a range that is not cut again.
+BIN_DIGITS, SMALL = 2, 4096
 
 
 def tokens(text_col: str = "text") -> Column:
@@ -62,11 +63,12 @@ def budgets(leaves: DataFrame, levels: list[str], budget: float, weights: dict[s
 
     ``weights[level]`` has the levels down to that one and ``weight``.
     """
-    tree = leaves.withColumn("__leafcap", (F.col("__tokens") * max_epochs).cast("double"))
+    tree = leaves.withColumn("__exact", F.col("__tokens").cast("decimal(20,0)"))
     given = None
     for depth, level in enumerate(levels):
         above, here = levels[:depth], levels[: depth + 1]
-        nodes = tree.groupBy(*here).agg(F.sum("__leafcap").alias("__cap"))
+        nodes = tree.groupBy(*here).agg(F.sum("__exact").alias("__exact"))
+        nodes = nodes.withColumn("__cap", (F.col("__exact") * F.lit(max_epochs).cast("decimal(8,0)")).cast("double"))
         if weights and level in weights:
             w = weights[level].select(*[F.col(c).alias(f"__w_{c}") for c in here], F.greatest(F.col("weight").cast("double"), F.lit(0.0)).alias("__weight"))
             match = F.lit(True)
@@ -84,8 +86,8 @@ def budgets(leaves: DataFrame, levels: list[str], budget: float, weights: dict[s
             for c in above:
                 match = match & F.col(c).eqNullSafe(F.col(f"__u_{c}"))
             nodes = nodes.join(up, match).drop(*[f"__u_{c}" for c in above])
-        given = shares(nodes, above or [F.lit(0)]).select(*here, "__cap", "__share")
-    return given.select(*levels, (F.col("__cap") / max_epochs).cast("long").alias("__tokens"), F.floor("__share").cast("long").alias("__budget"))
+        given = shares(nodes, above or [F.lit(0)]).select(*here, "__exact", "__share")
+    return given.select(*levels, F.col("__exact").cast("long").alias("__tokens"), F.floor("__share").cast("long").alias("__budget"))
 
 
 def equal_join(a: DataFrame, b: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
@@ -103,9 +105,13 @@ def _key(seed: int, ident: str) -> Column:
     return F.md5(F.concat_ws(":", *parts).cast("binary"))
 
 
-def _place(seed: int, ident: str, tie: str) -> dict[str, Column]:
-    key = _key(seed, ident)
-    return {"__bin": F.substring(key, 1, BIN_DIGITS), "__at": F.struct(key.alias("key"), F.col(ident).alias("id"), F.col(tie).alias("tie"))}
+def _place(seed: int, ident: str, tie: str) -> Column:
+    return F.struct(_key(seed, ident).alias("key"), F.col(ident).alias("id"), F.col(tie).alias("tie"))
+
+
+def _range(digits: int) -> Column:
+    """The range of a place by so many digits."""
+    return F.substring("__at.key", 1, digits)
 
 
 class Mix:
@@ -135,23 +141,31 @@ class Mix:
         given = given.withColumn("__epochs", whole).withColumn("__rest", F.col("__budget") - F.col("__epochs") * F.col("__tokens"))
         given = written(given, "budgets")
 
-        placed = equal_join(self.slim, given, levels).withColumns(_place(seed, "__id", "__tie"))
-        sums = placed.groupBy(*levels, "__rest", "__bin").agg(F.sum("__n").alias("__sum"))
+        placed = equal_join(self.slim, given, levels).withColumn("__at", _place(seed, "__id", "__tie"))
         run = Window.partitionBy(*levels).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-        bins = sums.withColumn("__start", F.coalesce(F.sum("__sum").over(run), F.lit(0)))
-        over = F.col("__start") + F.col("__sum") >= F.col("__rest")
-        cuts = bins.where(over).groupBy(*levels).agg(F.min(F.struct("__bin", "__start")).alias("__cut"))
-        cuts = cuts.select(*levels, F.col("__cut.__bin").alias("__cutbin"), F.col("__cut.__start").alias("__start"))
-        cut = equal_join(placed, cuts, levels).where("__bin = __cutbin")
+        cuts, self.digits = None, 0
+        while cuts is None or (self.digits < 32 and (cuts.agg(F.max("__rows")).first()[0] or 0) > SMALL):
+            inner = placed.withColumn("__start", F.lit(0).cast("long")) if cuts is None else self._cut(placed, cuts)
+            self.digits += BIN_DIGITS
+            sums = inner.groupBy(*levels, "__rest", "__start", _range(self.digits).alias("__bin")).agg(F.sum("__n").alias("__sum"), F.count("*").alias("__rows"))
+            bins = sums.withColumn("__start", F.col("__start") + F.coalesce(F.sum("__sum").over(run), F.lit(0)))
+            over = F.col("__start") + F.col("__sum") >= F.col("__rest")
+            found = bins.where(over).groupBy(*levels).agg(F.min(F.struct("__bin", "__start", "__rows")).alias("__cut"))
+            cuts = written(found.select(*levels, F.col("__cut.__bin").alias("__cutbin"), F.col("__cut.__start").alias("__start"), F.col("__cut.__rows").alias("__rows")), "cuts")
         order = Window.partitionBy(*levels).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
-        cut = cut.withColumn("__before", F.col("__start") + F.coalesce(F.sum("__n").over(order), F.lit(0)))
+        cut = self._cut(placed, cuts).withColumn("__before", F.col("__start") + F.coalesce(F.sum("__n").over(order), F.lit(0)))
         last = cut.where("__before < __rest").groupBy(*levels).agg(F.max("__at").alias("__last"))
         #: Per leaf: its whole epochs, the range where its prefix ends, and the last row of the prefix there.
-        self.bounds = written(equal_join(equal_join(given, cuts.drop("__start"), levels, "left"), last, levels, "left"), "bounds")
+        self.bounds = written(equal_join(equal_join(given, cuts.drop("__start", "__rows"), levels, "left"), last, levels, "left"), "bounds")
+
+    def _cut(self, placed: DataFrame, cuts: DataFrame) -> DataFrame:
+        """The rows in the range of each leaf where its prefix ends."""
+        return equal_join(placed, cuts.drop("__rows"), self.levels).where(_range(self.digits) == F.col("__cutbin")).drop("__cutbin")
 
     def _copies(self, rows: DataFrame, ident: str, tie: str) -> DataFrame:
-        placed = equal_join(rows, self.bounds, self.levels).withColumns(_place(self.seed, ident, tie))
-        inside = F.coalesce((F.col("__bin") < F.col("__cutbin")) | ((F.col("__bin") == F.col("__cutbin")) & (F.col("__at") <= F.col("__last"))), F.lit(False))
+        placed = equal_join(rows, self.bounds, self.levels).withColumn("__at", _place(self.seed, ident, tie))
+        here = _range(self.digits)
+        inside = F.coalesce((here < F.col("__cutbin")) | ((here == F.col("__cutbin")) & (F.col("__at") <= F.col("__last"))), F.lit(False))
         return placed.withColumn("__copies", F.col("__epochs") + inside.cast("long"))
 
     def documents(self) -> DataFrame:

@@ -2,11 +2,11 @@
 
 Each text gives ``STATS`` statistics. Random Fourier features of the standardised statistics
 approximate a Gaussian kernel; ridge regression on them is solved from normal equations that
-each partition sums up and the driver adds, one matrix a partition; isotonic regression on
+each partition sums up and ``PARTS`` tasks add to one matrix each, which the driver adds; isotonic regression on
 labelled rows that the ridge has not seen turns its output into a probability.
 
-Bounds of the fit: ``FIT`` labelled rows by hash of their id, on ``PARTS`` partitions, so the
-driver gets ``PARTS`` matrices; calibration works on counts in ``BINS`` bins of the output over
+Bounds of the fit: ``FIT`` labelled rows by hash of their id; the driver gets at most ``PARTS``
+matrices however many partitions there are; calibration works on counts in ``BINS`` bins of the output over
 all labelled rows of its fold.
 
 Defined results: a null text counts as empty; empty texts have statistics (zeros) and a score.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import tune, written
 from .langid import fold
 
-FIT, PARTS, BINS = 200_000, 32, 2000
+FIT, PARTS, BINS = 200_000, 8, 2000
 FEATURES, GAMMA, RIDGE, SEED = 384, 0.04, 1e-2, 11
 #: Bytes whose share is a statistic of its own, and groups of them.
 MARKS = [b".", b",", b"|", b"!", b"?", b"\n", b'"', b"#*$%&<>@^~", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"-_/=+:;()[]{}"]
@@ -113,23 +113,45 @@ class Model:
         return np.clip(np.interp(self.raw(x), *self.steps), 0, 1)
 
 
+SUMS = "m array<binary>, s array<array<long>>"
+
+
+def _packed(total: list[np.ndarray]) -> pa.RecordBatch:
+    m = pa.array([[np.ascontiguousarray(a, float).tobytes() for a in total]], pa.list_(pa.binary()))
+    return pa.RecordBatch.from_arrays([m, pa.array([[list(a.shape) for a in total]], pa.list_(pa.list_(pa.int64())))], names=["m", "s"])
+
+
+def _unpacked(m: list[bytes], s: list[list[int]]) -> list[np.ndarray]:
+    return [np.frombuffer(x).reshape(shape) for x, shape in zip(m, s, strict=True)]
+
+
+def _added(total: list[np.ndarray] | None, more: list[np.ndarray]) -> list[np.ndarray]:
+    return more if total is None else [a + b for a, b in zip(total, more, strict=True)]
+
+
 def sums(rows: DataFrame, of) -> list[np.ndarray]:
-    """Sums over all rows (stats, y) of the matrices that ``of(x, y)`` gives for a batch; one row a partition reaches the driver."""
+    """Sums over all rows (stats, y) of the matrices that ``of(x, y)`` gives for a batch; at most ``PARTS`` rows reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             if batch.num_rows:
-                got = of(_rows(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(float))
-                total = got if total is None else [a + b for a, b in zip(total, got, strict=True)]
+                total = _added(total, of(_rows(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(float)))
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([[np.ascontiguousarray(a).tobytes() for a in total]], pa.list_(pa.binary())), pa.array([[list(a.shape) for a in total]], pa.list_(pa.list_(pa.int64())))], names=["m", "s"])
+            yield _packed(total)
 
-    out: list[np.ndarray] = []
-    for row in rows.mapInArrow(run, "m array<binary>, s array<array<long>>").collect():  # at most PARTS rows
-        got = [np.frombuffer(m).reshape(s) for m, s in zip(row["m"], row["s"], strict=True)]
-        out = got if not out else [a + b for a, b in zip(out, got, strict=True)]
-    return out
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for m, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total = _added(total, _unpacked(m, s))
+        if total is not None:
+            yield _packed(total)
+
+    out: list[np.ndarray] | None = None
+    for row in rows.mapInArrow(run, SUMS).repartition(PARTS).mapInArrow(add, SUMS).collect():
+        out = _added(out, _unpacked(row["m"], row["s"]))
+    return out or []
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -149,7 +171,7 @@ def fit(labelled: DataFrame) -> Model:
     n = ours.count()
     if n > FIT:
         ours = ours.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(1e6 * FIT / n)))
-    ours = written(ours.select("stats", "y").coalesce(PARTS), "fit")
+    ours = written(ours.select("stats", "y"), "fit")
     model = Model(np.zeros(STATS), np.ones(STATS))
     got = sums(ours, lambda x, y: [np.array([len(x), y.sum()]), x.sum(0), (x * x).sum(0)])
     if not got:
@@ -173,7 +195,7 @@ def fit(labelled: DataFrame) -> Model:
         k = np.minimum((model.raw(x) + 0.5) / 2 * BINS, BINS - 1).astype(int)
         return [np.bincount(k, minlength=BINS).astype(float), np.bincount(k, y, BINS)]
 
-    bins = sums(labelled.where("part = 1").select("stats", "y").coalesce(PARTS), binned)
+    bins = sums(labelled.where("part = 1").select("stats", "y"), binned)
     if bins:
         seen = np.flatnonzero(bins[0])
         x = (seen + 0.5) / BINS * 2 - 0.5

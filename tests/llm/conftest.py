@@ -15,7 +15,7 @@ def texts():
 
 @pytest.fixture(scope="session")
 def docs(spark):
-    """The texts with clashing extra columns, a null id and a repeated row."""
+    """The texts with clashing extra columns."""
     rows = [(i, t, "en", f"s{i % 3}", len(t or ""), "x") for i, t in enumerate(TEXTS)]
     return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, n_tokens string").cache()
 
@@ -23,3 +23,18 @@ def docs(spark):
 @pytest.fixture(scope="session")
 def empty(docs):
     return docs.where("false")
+
+
+#: Names that the operators' own tables have or had.
+CLASHING = """id h1 h2 n bands node component bucket a b c s pos short t w l x y z part stats score predicted held_out lang_pred rejected kept base runs spans
+failed n_words n_symbols __id __n __tie __at __bin __copies weight share text_sha256 keep_id keep_points group_size sha row start file seq ids decoded""".split()
+
+
+@pytest.fixture(scope="session")
+def odd(spark):
+    """Rows with a null id, a repeated row, ties, a very long text, nulls in every column and columns of clashing names."""
+    long = "".join(chr(97 + i * i % 23) + (" " if i % 7 == 3 else "") for i in range(400_000))
+    rows = [(None, "a row without an id", "en", "s"), (None, None, None, None), (5, "twice the same words here", "en", "s"), (5, "twice the same words here", "en", "s"), (6, " twice the same  words here", "en", None)]
+    rows += [(7, "twice the same words here ", None, "s"), (8, long, "de", "t"), (9, "", "de", "t"), (10, "z" * 50_000, "de", "s")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(3)
+    return table.selectExpr("*", *[f"lang AS `{c}`" for c in CLASHING]).cache()

@@ -126,6 +126,21 @@ def test_quality_model(spark):
     assert quality_model.classify(some(spark, []), labels).count() == 0
 
 
+def test_quality_against_one_matrix(spark):
+    rng = random.Random(25)
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 9)))
+    made = []
+    for i in range(400):
+        text = " ".join(rng.choice(["BUY", "now!!", "$$$", "|", "é", "x1"]) if rng.random() < i % 5 / 5 else word() for _ in range(rng.randrange(1, 60)))
+        made.append((i, text.replace(" x1", "\n")))
+    made += [(1000, None), (1001, ""), (1002, " \n"), (1003, "word " * 30_000)]
+    labels = [(i, int(rng.random() > i % 5 / 5)) for i in range(300)] + [(5, 1), (6, None), (5000, 1)]
+    want = brute.quality(made, labels)
+    got = quality_model.classify(some(spark, made).repartition(5), spark.createDataFrame(labels, "doc_id bigint, quality int")).collect()
+    assert max(abs(r["score"] - want[r["doc_id"]]) for r in got) < 1e-5
+    assert {r["doc_id"]: r["held_out"] for r in got} == {i: brute.crc32(i) % 5 == 0 for i, _ in made}
+
+
 def test_isotonic():
     got = quality_model.isotonic(np.arange(5), np.array([0.0, 0.6, 0.2, 0.4, 1.0]), np.array([1.0, 1.0, 1.0, 2.0, 1.0]))
     assert np.allclose(got, [0, 0.4, 0.4, 0.4, 1.0])
@@ -419,6 +434,18 @@ def test_languages(spark):
     assert langid.identify(spark.createDataFrame([], "doc_id bigint, text string, lang string")).count() == 0
 
 
+def test_languages_against_a_plain_loop(spark):
+    rng = random.Random(26)
+    stems = {"aa": ["ban", "kel", "tor", "mi"], "bb": ["ssch", "ung", "keit", "ver"], "cc": ["eau", "oi", "que", "ment"]}
+    say = lambda k, n: " ".join("".join(rng.choice(stems[k]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    data = [(i, say(k, rng.choice([1, 20, 300, 900])), k) for i, k in enumerate(rng.choices(list(stems), [6, 3, 1], k=500))]
+    data += [(i + 500, t, k) for i, t, k in data[:60]] + [(2000, None, "aa"), (2001, " 1 ", "bb"), (2002, say("bb", 9), None), (2003, say("cc", 20_000), "cc")]
+    want = brute.languages(data)
+    got = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(data, "doc_id bigint, text string, lang string").repartition(3)).collect()}
+    assert {i: r["lang_pred"] for i, r in got.items()} == {i: k for i, (k, _) in want.items()}
+    assert all(abs(got[i]["score"] - s) < 1e-9 for i, (_, s) in want.items())
+
+
 def test_dictionaries_of_copies_and_openings(spark):
     rng = random.Random(16)
     word = lambda letters: "".join(rng.choice(letters) for _ in range(8))
@@ -574,3 +601,51 @@ def test_trie_spills_by_subtree(spark, monkeypatch):
     pairs = [(i, f"text {i % 37} " + "x" * (i % 5)) for i in range(500)]
     monkeypatch.setattr(exact_dedup, "BUDGET", 300)
     assert rows(exact_dedup.dedup(some(spark, pairs))) == sorted(brute.exact(pairs), key=repr)
+
+
+# Odd rows: null ids, repeated rows, ties, very long texts, clashing names
+
+
+def repeated(got, *cols):
+    """The rows of the id that stands twice are alike; the columns asked for."""
+    twice = [tuple(r) for r in got.collect() if r["doc_id"] == 5]
+    assert len(twice) == 2 and twice[0] == twice[1]
+    return sorted((tuple(r[c] for c in cols) for r in got.collect()), key=repr)
+
+
+def test_odd_rows_of_every_operator(spark, odd, empty):
+    labels = spark.createDataFrame([(5, 1), (8, 0), (None, 1), (9, None)], "doc_id bigint, quality int").withColumn("stats", F.lit("x"))
+    got = quality_model.classify(odd, labels)
+    assert got.count() == 9 and all(0 <= s <= 1 for _, s in repeated(got, "doc_id", "score"))
+    near = repeated(minhash.near_duplicates(odd), "doc_id", "component_id", "kept")
+    assert [r for r in near if r[0] in (5, 6, 7)] == [(5, 5, True), (5, 5, True), (6, 5, False), (7, 5, False)] and near.count((None, None, True)) == 2
+    kept = minhash.keep_one(odd)
+    assert kept.columns == odd.columns and sorted(repr(r["doc_id"]) for r in kept.collect()) == sorted(map(repr, [None, None, 5, 5, 8, 9, 10]))
+    assert len(repeated(quality_rules.verdicts(odd), "doc_id")) == 9 and quality_rules.keep(odd).columns == odd.columns
+    assert len(repeated(secret_scan.digest(secret_scan.secrets(odd)), "doc_id")) == 9
+    assert len(repeated(license_scan.digest(license_scan.licenses(odd)), "doc_id")) == 9
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(odd).collect()}[9] == "und"
+    assert len(repeated(bpe.digest(odd, tokenizer("word_bpe_49k.json")), "doc_id")) == 9
+    assert len(wavelet.round_trip(odd, tokenizer("byte_bpe_50k.json"), 2).collect()) == 9
+    mix = mixing.Mix(odd.drop(*[c for c in odd.columns if c.startswith("__")]), ["lang", "source"], budget_ratio=1.0, max_epochs=1)
+    assert sum(r["n_tokens"] for r in mix.documents().collect()) == sum(len(brute.words(r["text"])) for r in odd.collect())
+    once = exact_dedup.keep_one(odd)
+    assert once.columns == odd.columns and sorted(repr(r["doc_id"]) for r in once.collect()) == sorted(map(repr, [None, 6, 8, 9, 10]))
+
+
+def test_documents_longer_than_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(wavelet, "SHARD", 50)
+    tok, pairs = library("byte_bpe_50k.json"), [(i, f"text {i} " * (200 if i == 3 else 4)) for i in range(9)]
+    got = rows(wavelet.round_trip(some(spark, pairs), tokenizer("byte_bpe_50k.json"), 2, shards=2), "doc_id", "n_tokens", "ids_crc32")
+    assert got == [(i, len(ids), brute.crc(ids)) for i, t in pairs for ids in [[*tok.encode(t, add_special_tokens=False).ids, 2]]]
+
+
+def test_cut_ranges_are_cut_again(spark, monkeypatch):
+    rng = random.Random(27)
+    data = [(i, "w " * rng.randrange(0, 9), "a", "hot" if i % 3 else f"s{i % 5}") for i in range(900)]
+    table, mix = mixed(spark, data, budget_ratio=0.7, max_epochs=2)
+    want = rows(mix.documents())
+    monkeypatch.setattr(mixing, "SMALL", 1)
+    monkeypatch.setattr(mixing, "BIN_DIGITS", 1)
+    _, fine = mixed(spark, data, budget_ratio=0.7, max_epochs=2)
+    assert fine.digits > 2 and rows(fine.documents()) == want
