@@ -100,3 +100,19 @@ def test_mix_takes_null_sources(spark):
     got = sorted(tuple(r)[:2] for r in corpus_pipeline.mix(spark, spark.createDataFrame(data, names), "").collect())
     assert got == sorted(mixed([(i, t, lang, s or "") for i, t, lang, s in data], 2))
     assert {i for i, _ in got} & {i for i, _, _, s in data if s is None}
+
+
+def test_stages_of_odd_tables(spark, odd, tmp_path):
+    """Null and repeated ids, clashing columns and an empty table, stage by stage; all stages but the last return the columns they got."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    table = odd.withColumns({"text": F.when(F.col("text") != "", F.concat_ws(" ", "text", F.lit(" ".join(f"word{i}" for i in range(60)))))} | {c: F.lit("x") for c in ("domain", "copies")})
+    for start, least in ((table, 3), (table.where("false"), 0)):
+        left = start
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, left, str(tmp_path))
+            if name != "bpe":
+                assert got.columns == start.columns, name
+            left = got.cache()
+        assert least <= left.count() <= 9 and left.columns[0] == "doc_id"
