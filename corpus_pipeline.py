@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.llm import bpe, exact_dedup, minhash, mixing, quality_rules
-from gridspark.llm.common import documents, tune, written
+from gridspark.llm.common import documents, release, tune, written
 from gridspark.llm.queries import domain, tokenizer
 
 
@@ -35,10 +35,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many tokens as there are, domains 4:3:2:1, in up to two epochs; a null source has the domain of an empty one."""
-    named = docs.withColumn("__domain", domain(F.coalesce(F.col("source").cast("string"), F.lit(""))))
-    weights = spark.sql("SELECT * FROM VALUES ('domain0', 4), ('domain1', 3), ('domain2', 2), ('domain3', 1) AS t(__domain, weight)")
-    mixed = mixing.Mix(named, ["__domain", "lang", "source"], budget_ratio=1.0, weights={"__domain": weights}, max_epochs=2)
-    return mixed.take(named).select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    named = docs.select(row.alias("row"), domain(F.coalesce(F.col("source").cast("string"), F.lit(""))).alias("domain"), "lang", "source", "doc_id", "text")
+    weights = spark.sql("SELECT * FROM VALUES ('domain0', 4), ('domain1', 3), ('domain2', 2), ('domain3', 1) AS t(domain, weight)")
+    mixed = mixing.Mix(named, ["domain", "lang", "source"], budget_ratio=1.0, weights={"domain": weights}, max_epochs=2)
+    return mixed.take(named).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,9 +60,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each one's result written to the shared folder and read again."""
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs, name)
+            if before is not None:
+                release(before)
+            before = docs
     return docs
