@@ -2,8 +2,8 @@
 
 A fold with an arbitrary function needs its cells in order, so :func:`reduce_l` and its kin
 bring the walked range to one row; they are for ranges that fit one task. Folds with an
-associative join run as partial and final aggregates (:func:`walk_p`), and known monoids are
-plain aggregates (:func:`walk`). Inner reductions are one group a line.
+associative join run over blocks of bounded size whose states are merged in a tree
+(:func:`walk_p`), and known monoids are plain aggregates (:func:`walk`). Inner reductions are one group a line.
 """
 
 from __future__ import annotations
@@ -19,6 +19,9 @@ from ..shape import Shape
 
 Step = Callable[..., Column]
 
+#: Cells that a parallel fold goes over in one array, and states that are merged together.
+BLOCK, FAN = 4096, 256
+
 
 def _range(g: Grid, start: Shape | None, end: Shape | None) -> DataFrame:
     rows = g.df
@@ -63,18 +66,24 @@ def walk(g: Grid, start: Shape | None = None, end: Shape | None = None, **aggs:
     return _range(g, start, end).agg(*[a.alias(n) for n, a in aggs.items()])
 
 
+def _merged(states: DataFrame, zero: Column, join: Step) -> Column:
+    return F.aggregate(F.array_sort(F.collect_list(F.struct("chunk", "s"))), zero, lambda a, c: join(a, c["s"]))
+
+
 def walk_p(step: Step, zero: Column, join: Step, g: Grid, chunks: int | None = None, start: Shape | None = None, end: Shape | None = None, indexed: bool = False) -> DataFrame:
-    """One row (r): a fold in chunks of the outermost axis whose states ``join`` merges in order.
+    """One row (r): a fold of blocks in row-major order whose states ``join``, which is associative, merges in order.
 
-    ``zero`` must be neutral for ``join``. One state a chunk reaches the last task.
+    ``zero`` must be neutral for ``join``. A block has at most ``BLOCK`` cells, or fewer so that
+    there are ``chunks``; states are merged ``FAN`` at a time, so no array is longer than either.
     """
-    chunks = chunks or int(g.spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = _range(g, start, end)
-    low, high = (start or sh.zero(g.rank))[0], (end or g.extent)[0]
-    each = max(1, -(-max(1, high - low) // chunks))
-    parts = rows.groupBy(F.floor((F.col("i0") - low) / each).alias("chunk")).agg(_fold(_ordered(g, g.names), zero, step, g.names, indexed, True).alias("s"))
-    states = F.array_sort(F.collect_list(F.struct("chunk", "s")))
-    return parts.agg(F.aggregate(states, zero, lambda a, c: join(a, c["s"])).alias("r"))
+    size = sh.size(g.extent)
+    each = max(1, min(BLOCK, -(-size // chunks) if chunks else BLOCK))
+    rows = _range(g, start, end).withColumn("chunk", F.floor(sh.linear_column(g.extent, g.index) / each))
+    states, n = rows.groupBy("chunk").agg(_fold(_ordered(g, g.names), zero, step, g.names, indexed, True).alias("s")), -(-size // each)
+    while n > FAN:
+        states = states.withColumn("up", F.floor(F.col("chunk") / FAN)).groupBy("up").agg(_merged(states, zero, join).alias("s")).withColumnRenamed("up", "chunk")
+        n = -(-n // FAN)
+    return states.agg(_merged(states, zero, join).alias("r"))
 
 
 def iwalk_p(step: Step, zero: Column, join: Step, g: Grid, chunks: int | None = None, start: Shape | None = None, end: Shape | None = None) -> DataFrame:
@@ -87,6 +96,36 @@ def walk_slices(g: Grid, n: int, agg: Callable[[Column], Column], start: Shape |
     return _range(g, start, end).agg(*[agg(F.col("v").getItem(k)).alias(f"r{k}") for k in range(n)])
 
 
+def _each(step: Step, zero: Column, n: int) -> tuple[Step, Column]:
+    """A step and a start for all components of vectors at once."""
+    return lambda acc, *at: F.array(*[step(acc.getItem(k), *at[:-1], at[-1].getItem(k)) for k in range(n)]), F.array(*[zero] * n)
+
+
+def _components(one: DataFrame, n: int) -> DataFrame:
+    return one.select(*[F.col("r").getItem(k).alias(f"r{k}") for k in range(n)])
+
+
+def walk_slices_separate(step: Step, zero: Column, g: Grid, n: int, start: Shape | None = None, end: Shape | None = None, indexed: bool = False) -> DataFrame:
+    """One row (r0, ..): the ordered left fold of each component; ``indexed``: ``step(acc, i0, .., c)``."""
+    f, zeros = _each(step, zero, n)
+    return _components(reduce_l(f, zeros, g, start, end, indexed), n)
+
+
+def walk_slices_separate_p(step: Step, zero: Column, join: Step, g: Grid, n: int, chunks: int | None = None, start: Shape | None = None, end: Shape | None = None, indexed: bool = False) -> DataFrame:
+    """One row (r0, ..): :func:`walk_p` of each component, all in one pass."""
+    f, zeros = _each(step, zero, n)
+    both = lambda a, b: F.array(*[join(a.getItem(k), b.getItem(k)) for k in range(n)])
+    return _components(walk_p(f, zeros, both, g, chunks, start, end, indexed), n)
+
+
+def iwalk_slices_separate(step: Step, zero: Column, g: Grid, n: int, start: Shape | None = None, end: Shape | None = None) -> DataFrame:
+    return walk_slices_separate(step, zero, g, n, start, end, True)
+
+
+def iwalk_slices_separate_p(step: Step, zero: Column, join: Step, g: Grid, n: int, chunks: int | None = None, start: Shape | None = None, end: Shape | None = None) -> DataFrame:
+    return walk_slices_separate_p(step, zero, join, g, n, chunks, start, end, True)
+
+
 def mutate(g: Grid, bucket: Callable[..., Column], size: int, weight: Column | None = None, start: Shape | None = None, end: Shape | None = None) -> Grid:
     """A fold into a mutable rank-one array of counters: ``bucket(i0, .., v)`` is the cell that grows.
 
@@ -137,8 +176,7 @@ def fold_inner(f: Step, zero: Column | Callable[..., Column], g: Grid, indexed:
 
 iwalk = range_walk = walk
 range_walk_p = walk_p
-walk_slices_separate = iwalk_slices_separate = range_walk_slices_separate = walk_slices
-walk_slices_separate_p = iwalk_slices_separate_p = range_walk_slices_separate_p = walk_slices
+range_walk_slices_separate, range_walk_slices_separate_p = walk_slices_separate, walk_slices_separate_p
 imutate = mutate
 ireduce_inner = reduce_inner
 reduce_left_m, reduce_right_m = reduce_l, reduce_r

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from ..blocks import BlockGrid
-from ..operators import stencil
+from ..operators import connect, stencil
 from .recipes import BINOMIAL, BLUR, BLUR_SUM, HORIZ, NEG_DIAG, NO_EDGE, NO_ORIENT, POS_DIAG, SOBEL_X, SOBEL_Y, STRONG, VERT, WEAK
 
 
@@ -76,10 +80,97 @@ def suppress(packed: BlockGrid, high: int) -> BlockGrid:
 
 
 def edges(red: BlockGrid, green: BlockGrid, blue: BlockGrid, low: int = 50, high: int = 100) -> BlockGrid:
-    """Weak and strong edges of an image; hysteresis is :func:`gridspark.plans.recipes.wildfire` over its marked cells."""
+    """Weak and strong edges of an image."""
     return suppress(gradient(blur_separable(luminosity(red, green, blue)), low), high)
 
 
+def labels(m: np.ndarray) -> np.ndarray:
+    """The least cell number of the 8-connected component of each marked cell of a band, -1 elsewhere; in logarithmic rounds."""
+    h, w = m.shape
+    at = np.flatnonzero(m)
+    place = np.full(h * w, -1, np.int64)
+    place[at] = np.arange(len(at))
+    y, x = at // w, at % w
+    pairs = []
+    for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1)):
+        ok = (y + dy < h) & (x + dx >= 0) & (x + dx < w)
+        to = place[(at[ok] + dy * w + dx)]
+        pairs.append(np.stack([np.flatnonzero(ok)[to >= 0], to[to >= 0]]))
+    a, b = np.concatenate(pairs, 1)
+    root = np.arange(len(at))
+    while len(a):
+        ra, rb = root[a], root[b]
+        low, high = np.minimum(ra, rb), np.maximum(ra, rb)
+        apart = low < high
+        if not apart.any():
+            break
+        a, b, low, high = a[apart], b[apart], low[apart], high[apart]
+        np.minimum.at(root, high, low)
+        while True:  # every root is followed to its end
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+    out = np.full(h * w, -1, np.int64)
+    out[at] = at[root]
+    return out.reshape(h, w)
+
+
+def hysteresis(marks: BlockGrid) -> BlockGrid:
+    """255 for marked cells that are 8-connected to a strong one within the rim, 0 elsewhere.
+
+    Each band labels its own cells; labels that meet where two bands touch are linked, and the
+    components of these links, a table of labels on rims, tell which labels burn. Only rims and
+    labels on them are exchanged.
+    """
+    (h, w), lines, kind = marks.extent, marks.lines, marks.kind
+    marks = BlockGrid(connect.kept(marks.df), marks.extent, lines, kind)  # read twice
+
+    def read(band: int, data: pa.BinaryScalar) -> tuple[np.ndarray, np.ndarray]:
+        """The marks of a band and the labels that are strong by themselves."""
+        m = np.frombuffer(data.as_buffer(), kind).reshape(-1, w)
+        of = labels(m)
+        strong = m == STRONG
+        strong[:, [0, -1]] = False
+        y = band * lines + np.arange(len(m))
+        strong[(y == 0) | (y == h - 1)] = False
+        return of, np.unique(of[strong])
+
+    def rims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for band, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                of, strong = read(band, data)
+                for line in sorted({0, len(of) - 1}):
+                    x = np.flatnonzero(of[line] >= 0)
+                    node = of[line][x]
+                    cols = (np.full(len(x), band * lines + line), x, node + band * lines * w, np.isin(node, strong))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["y", "x", "node", "strong"])
+
+    rim = connect.kept(marks.df.mapInArrow(rims, "y long, x long, node long, strong boolean"))
+    below = rim.where(F.col("y") % lines == lines - 1).select(F.col("node").alias("u"), (F.col("y") + 1).alias("y"), F.explode(F.array(*[F.col("x") + d for d in (-1, 0, 1)])).alias("x"))
+    links = below.join(rim.select("y", "x", F.col("node").alias("v")), ["y", "x"]).select("u", "v").distinct()
+    owned = rim.select("node", "strong").distinct().join(connect.components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lit = owned.join(owned.where("strong").select("root").distinct(), "root", "left_semi").where("not strong")
+    # A band has at most two lines of labels.
+    lists = lit.groupBy(F.floor(F.floor(F.col("node") / w) / lines).alias("band")).agg(F.collect_set("node").alias("lit"))
+    rows = marks.df.join(lists, "band", "left").select("band", "data", "lit")
+
+    def burn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for band, data, more in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                of, strong = read(band, data)
+                hot = np.concatenate([strong, np.array(more or [], np.int64) - band * lines * w])
+                out = np.where((of >= 0) & np.isin(of, hot), STRONG, NO_EDGE).astype("int16")
+                yield pa.RecordBatch.from_arrays([pa.array([band]), pa.array([out.tobytes()], pa.binary())], names=["band", "data"])
+
+    return BlockGrid(rows.mapInArrow(burn, "band long, data binary"), marks.extent, lines, "int16")
+
+
+def canny(red: BlockGrid, green: BlockGrid, blue: BlockGrid, low: int = 50, high: int = 100) -> BlockGrid:
+    """Edges of an image of planes in 0..255, with hysteresis."""
+    return hysteresis(edges(red, green, blue, low, high))
+
+
 def equalize(plane: BlockGrid) -> BlockGrid:
     """Values in 0..1 by their rank; the histogram has 256 counters."""
     cdf = np.cumsum(plane.histogram(256, 255.99))

@@ -7,17 +7,19 @@ the embedding matrix. Measures are whole numbers (cents, thousandths), so sums a
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 from ..blocks import BlockGrid
 from ..functions import elem, vector
 from ..grid import Grid
 from ..operators import flow, load, stencil, walk
 from ..sources import generate as gen
+from ..sources import images
 from . import planes, recipes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -218,6 +220,18 @@ def checked_index(s, d):
 # Projections
 
 
+@query("SELECT i0, i1, CASE WHEN i0 = i1 THEN 7 ELSE v END AS v FROM qd")
+def checked_write(s, d):
+    return qd(s, d).check().write(s.range(11).select(F.col("id").alias("i0"), F.col("id").alias("i1"), F.lit(7).cast("long").alias("v"))).df
+
+
+@query("SELECT CAST(i0 AS BIGINT) AS i0, CAST(i1 AS BIGINT) AS i1, CASE WHEN i0 = 2 THEN i1 * 10 ELSE -1 END AS v FROM range(5) a(i0), range(4) b(i1)")
+def new(s, d):
+    """Cells without a value, here -1, but for those written."""
+    g = gen.new(s, (5, 4), "bigint").write(s.range(4).select(F.lit(2).cast("long").alias("i0"), F.col("id").alias("i1"), (F.col("id") * 10).alias("v")))
+    return flow.dmap(lambda v: F.coalesce(v, F.lit(-1).cast("long")), g).df
+
+
 @query("SELECT i0, v * 3 + 1 AS v FROM ev")
 def dmap(s, d):
     return flow.dmap(lambda v: v + 1, flow.dmap(lambda v: v * 3, ev(s, d))).df
@@ -310,6 +324,17 @@ def dzip_elems3(s, d):
     return _parts(flow.dzip_elems3([lambda a, b, c: a + b + c, lambda a, b, c: a * b - c], vec(s, d), twin(od(s, d)), twin(su(s, d))), 2)
 
 
+@query("SELECT e.i0, e.v + o.v - s.v * r.v + e.i0 AS v FROM ev e JOIN od o ON e.i0 = o.i0 JOIN su s ON s.i0 = e.i0 JOIN re r ON r.i0 = e.i0")
+def izip_n(s, d):
+    return flow.izip(lambda i, e, o, a, r: e + o - a * r + i, ev(s, d), od(s, d), su(s, d), re(s, d)).df
+
+
+@query("SELECT a.i0, a.c0 + b.v + c.v + r.v AS c0, a.c1 * b.v - c.v * r.v AS c1 FROM vec a JOIN od b ON a.i0 = b.i0 JOIN su c ON c.i0 = a.i0 JOIN re r ON r.i0 = a.i0")
+def dzip_elems_n(s, d):
+    twin = lambda g: flow.dmap(lambda v: vector.vec(v, v), g)
+    return _parts(flow.dzip_elems([lambda a, b, c, r: a + b + c + r, lambda a, b, c, r: a * b - c * r], vec(s, d), twin(od(s, d)), twin(su(s, d)), twin(re(s, d))), 2)
+
+
 @query("SELECT a.i0, b.i0 AS i1, a.v * b.v AS v FROM su a, su b")
 def cart_product2(s, d):
     g = su(s, d)
@@ -390,7 +415,7 @@ def walk_slices(s, d):
 
 @query("SELECT CAST(sum(c0) AS BIGINT) AS r0, CAST(sum(c1) AS BIGINT) AS r1, CAST(sum(c2) AS BIGINT) AS r2 FROM vec WHERE i0 >= 10 AND i0 < 700")
 def range_walk_slices(s, d):
-    return walk.range_walk_slices_separate(vec(s, d), 3, F.sum, (10,), (700,))
+    return walk.walk_slices(vec(s, d), 3, F.sum, (10,), (700,))
 
 
 @query("SELECT CAST(b AS BIGINT) AS i0, coalesce(n, 0) AS v FROM range(97) t(b) LEFT JOIN (SELECT v % 97 AS k, count(*) AS n FROM ev GROUP BY 1) ON k = b")
@@ -428,6 +453,54 @@ def scan(s, d):
     return walk.scan(ev(s, d)).df
 
 
+_M = 1000003
+
+
+def _affine(acc: Column, v: Column) -> Column:
+    """One step of the hash ``(a * 31 + v) % M`` as a pair (factor, summand), so that pairs can be joined."""
+    return F.array(acc.getItem(0) * 31 % _M, (acc.getItem(1) * 31 + v) % _M)
+
+
+def _composed(a: Column, b: Column) -> Column:
+    return F.array(a.getItem(0) * b.getItem(0) % _M, (a.getItem(1) * b.getItem(0) + b.getItem(1)) % _M)
+
+
+def _neutral() -> Column:
+    return F.array(F.lit(1).cast("long"), F.lit(0).cast("long"))
+
+
+def _hash_sql(v: str, table: str, by: str = "i0, i1") -> str:
+    return f"(SELECT list_reduce(list({v} ORDER BY {by}), lambda a, x: (a * 31 + x) % 1000003, CAST(0 AS BIGINT)) FROM {table})"
+
+
+@query("SELECT " + _hash_sql("v", "qd") + " AS r FROM (SELECT 1 FROM qd LIMIT 1)")
+def walk_p_ordered(s, d):
+    """A join that does not commute: the hash of all cells in order, over blocks."""
+    old = walk.walk_p(_affine, _neutral(), _composed, qd(s, d), chunks=23)
+    return old.select(F.col("r").getItem(1).alias("r"))
+
+
+@query("SELECT " + ", ".join(_hash_sql(f"c{k}", "vec", "i0") + f" AS r{k}" for k in range(3)) + " FROM (SELECT 1 FROM vec LIMIT 1)")
+def walk_slices_separate_p(s, d):
+    got = walk.walk_slices_separate_p(_affine, _neutral(), _composed, vec(s, d), 3, chunks=7)
+    return got.select(*[F.col(f"r{k}").getItem(1).alias(f"r{k}") for k in range(3)])
+
+
+@query("SELECT " + ", ".join(_hash_sql(f"c{k}", "vec", "i0") + f" AS r{k}" for k in range(3)) + " FROM (SELECT 1 FROM vec LIMIT 1)")
+def walk_slices_separate(s, d):
+    return walk.walk_slices_separate(lambda a, v: (a * 31 + v) % _M, F.lit(0).cast("long"), vec(s, d), 3)
+
+
+@query("SELECT " + ", ".join(f"CAST(sum(c{k} * i0) AS BIGINT) AS r{k}" for k in range(3)) + " FROM vec WHERE i0 >= 3 AND i0 < 90")
+def iwalk_slices_separate_p(s, d):
+    return walk.iwalk_slices_separate_p(lambda a, i, v: a + i * v, F.lit(0).cast("long"), lambda a, b: a + b, vec(s, d), 3, None, (3,), (90,))
+
+
+@query("SELECT " + ", ".join(f"CAST(sum(c{k} * i0) AS BIGINT) AS r{k}" for k in range(3)) + " FROM vec WHERE i0 >= 3 AND i0 < 90")
+def iwalk_slices_separate(s, d):
+    return walk.iwalk_slices_separate(lambda a, i, v: a + i * v, F.lit(0).cast("long"), vec(s, d), 3, (3,), (90,))
+
+
 # Stencils
 
 
@@ -556,6 +629,29 @@ def clamp(s, d):
     return flow.dmap(lambda v: elem.clamp(500, 20000, v), ev(s, d)).df
 
 
+@query("SELECT i0, least(greatest(v, 700), 20000) + greatest(v, 5000) AS v FROM ev")
+def min_max(s, d):
+    low, high = F.lit(700).cast("long"), F.lit(20000).cast("long")
+    return flow.dmap(lambda v: elem.min_m(elem.max_m(v, low), high) + elem.max_m(v, F.lit(5000).cast("long")), ev(s, d)).df
+
+
+@query("SELECT i0, CAST(CAST(trunc((v % 256) / 255.0::DOUBLE * 255.0::DOUBLE) AS BIGINT) & 255 AS SMALLINT) AS v FROM ev")
+def normalized_to_byte(s, d):
+    return flow.dmap(lambda v: elem.normalized_to_byte(elem.normalize_byte(v % 256)), ev(s, d)).df
+
+
+@query("SELECT i0, c0 + 1 AS c0, c1 * 2 AS c1, -c2 AS c2 FROM vec")
+def vector_apply(s, d):
+    return _parts(flow.dmap(lambda v: vector.apply([lambda a: a + 1, lambda b: b * 2, lambda c: -c], v), vec(s, d)))
+
+
+@query("SELECT i0, c0, c1, c2, (c0, c1, c2) > (3000, 3, 2) AS larger FROM vec")
+def named_vectors(s, d):
+    g = flow.dmap(lambda v: vector.named(*vector.parts(v, 3)), vec(s, d))
+    limit = vector.named(*[F.lit(x).cast("long") for x in (3000, 3, 2)])
+    return g.df.select("i0", "v.c0", "v.c1", "v.c2", (F.col("v") > limit).alias("larger"))
+
+
 @query("SELECT i0, CAST(CAST(trunc(v / 7.0::DOUBLE) AS BIGINT) & 255 AS SMALLINT) AS v FROM ev")
 def to_byte(s, d):
     return flow.dmap(lambda v: elem.to_byte(v / F.lit(7.0)), ev(s, d)).df
@@ -686,11 +782,88 @@ def hsl_round_trip(s, d):
     return _parts(flow.map_elems(lambda c: F.round(c, 6), g))
 
 
-@query(None)
+_RGB = "rgb AS (SELECT i0, i1, ((v * 7) % 256) / 255.0::DOUBLE AS r, ((v * 13 + i0) % 256) / 255.0::DOUBLE AS g, ((v * 29 + i1) % 256) / 255.0::DOUBLE AS b FROM qd)"
+_SIXTH, _THIRD, _THIRDS = (f"{x!r}::DOUBLE" for x in (1.0 / 6.0, 1.0 / 3.0, 2.0 / 3.0))
+_HSL = (
+    "hsl AS (SELECT i0, i1, CASE WHEN hi = lo THEN 0::DOUBLE WHEN hu < 0 THEN hu + 1 ELSE hu END AS h, "
+    "CASE WHEN hi = lo THEN 0::DOUBLE WHEN (lo + hi) / 2 <= 0.5::DOUBLE THEN (hi - lo) / (lo + hi) ELSE (hi - lo) / (2 - (lo + hi)) END AS s, CASE WHEN hi = lo THEN hi ELSE (lo + hi) / 2 END AS l FROM ("
+    f"SELECT *, CASE WHEN hi = lo THEN 0::DOUBLE WHEN r = hi THEN {_SIXTH} * (g - b) / (hi - lo) WHEN g = hi THEN {_SIXTH} * (b - r) / (hi - lo) + {_THIRD} ELSE {_SIXTH} * (r - g) / (hi - lo) + {_THIRDS} END AS hu "
+    "FROM (SELECT *, least(r, g, b) AS lo, greatest(r, g, b) AS hi FROM rgb)))"
+)
+
+
+def _back_sql(table: str) -> str:
+    """Colours of (h, s, l) rows, rounded."""
+    part = lambda x, c: f"round(CASE WHEN {x} - floor({x}) < {_SIXTH} THEN p + (q - p) * 6 * ({x} - floor({x})) WHEN {x} - floor({x}) < 0.5::DOUBLE THEN q WHEN {x} - floor({x}) < {_THIRDS} THEN p + (q - p) * 6 * ({_THIRDS} - ({x} - floor({x}))) ELSE p END, 6) AS {c}"
+    return (
+        f"SELECT i0, i1, {part(f'(h + {_THIRD})', 'c0')}, {part('h', 'c1')}, {part(f'(h - {_THIRD})', 'c2')} FROM (SELECT *, 2 * l - q AS p FROM ("
+        f"SELECT *, CASE WHEN l < 0.5::DOUBLE THEN l * (1 + s) ELSE l + s - l * s END AS q FROM {table}))"
+    )
+
+
+@query("")
+def rgb2hsl(s, d):
+    g = flow.dmap(recipes.rgb2hsl, flow.map_elems(elem.normalize_byte, image(s, d)))
+    return _parts(flow.map_elems(lambda c: F.round(c, 6), g))
+
+
+_SQL["rgb2hsl"] = "WITH " + CTES["qd"] + f", {_RGB}, {_HSL} SELECT i0, i1, round(h, 6) AS c0, round(s, 6) AS c1, round(l, 6) AS c2 FROM hsl"
+
+
+@query("")
+def hsl2rgb(s, d):
+    g = flow.dmap(recipes.hsl2rgb, flow.map_elems(elem.normalize_byte, image(s, d)))
+    return _parts(flow.map_elems(lambda c: F.round(c, 6), g))
+
+
+_SQL["hsl2rgb"] = "WITH " + CTES["qd"] + f", {_RGB} " + _back_sql("(SELECT i0, i1, r AS h, g AS s, b AS l FROM rgb)")
+
+
+@query("")
 def equalize_lightness(s, d):
     return _parts(flow.map_elems(lambda c: F.round(c, 6), recipes.equalize_lightness(flow.map_elems(elem.normalize_byte, image(s, d)))))
 
 
+_SQL["equalize_lightness"] = (
+    "WITH " + CTES["qd"] + f", {_RGB}, {_HSL}, counts AS (SELECT CAST(floor(l * 255.99::DOUBLE) AS BIGINT) AS k, count(*) AS n FROM hsl GROUP BY 1), "
+    "cdf AS (SELECT b, coalesce((SELECT sum(n) FROM counts WHERE k <= b), 0) AS c FROM range(256) t(b)), "
+    "even AS (SELECT i0, i1, h, s, CAST(c.c - z.c AS DOUBLE) / CAST((SELECT count(*) FROM qd) - z.c AS DOUBLE) AS l FROM hsl JOIN cdf c ON c.b = CAST(floor(l * 255.0::DOUBLE) AS BIGINT) JOIN cdf z ON z.b = 0) "
+    + _back_sql("even")
+)
+
+
+@query("")
+def blocks_canny(s, d):
+    fired = planes.canny(*_channels(image(s, d)), 20, 60).cells()
+    return flow.dmap(lambda v: v.cast("int"), fired).df
+
+
+_SQL["blocks_canny"] = _SQL["canny"]
+
+
+def _stored(s: SparkSession, layout: str, g: Grid) -> images.Image:
+    """An image written to the shared folder and read back."""
+    where = s.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/gridspark-work"
+    path = f"{where}/images/{uuid.uuid4().hex}.png"
+    images.write_image(g, path, layout)
+    return images.read_image(s, path)
+
+
+@query("SELECT i0, i1, CAST((v * 7) % 256 AS INTEGER) AS c0, CAST((v * 13 + i0) % 256 AS INTEGER) AS c1, CAST((v * 29 + i1) % 256 AS INTEGER) AS c2 FROM qd")
+def image_round_trip(s, d):
+    return _parts(images.read_rgb_vectors(_stored(s, "rgb", image(s, d))))
+
+
+@query("SELECT i0, i1, CAST((v * 7) % 256 AS INTEGER) AS v FROM qd")
+def image_grey(s, d):
+    return _stored(s, "grey", image(s, d).slices(3)[0]).grid.df
+
+
+@query("SELECT i0, i1, CAST((v * 7) % 256 + 2 * ((v * 13 + i0) % 256) - (v * 29 + i1) % 256 AS INTEGER) AS v FROM qd")
+def image_read_rgb(s, d):
+    return images.read_rgb(lambda r, g, b: r + 2 * g - b, _stored(s, "rgb", image(s, d))).df
+
+
 _BODIES = "b0 AS (SELECT * FROM (VALUES (CAST(0 AS BIGINT), 5.9722e24::DOUBLE, 1.470983e11::DOUBLE, 0::DOUBLE, 2.694354528161541e03::DOUBLE, 3.016946927465788e04::DOUBLE), (1, 1.8986e27, -7.405736e11, 0, -1.0965244901087316e02, -1.3710001990210707e04), (2, 1.9889e30, 0, 0, 0, 0)) t(i0, m, x, y, u, w))"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import shape as sh
 from ..functions import elem, vector
 from ..grid import Grid
-from ..operators import flow, stencil, walk
+from ..operators import connect, flow, stencil, walk
 from ..sources.generate import new_empty
 
 # Kernels, orientation and edge marks, colour weights, constants of motion.
@@ -122,38 +122,22 @@ def suppress(g: Grid, high: int) -> Grid:
 def wildfire(edges: Grid, start: sh.Shape | None = None, end: sh.Shape | None = None) -> Grid:
     """255 for cells with an edge that are 8-connected to a strong one (by default within the rim), 0 elsewhere.
 
-    Each round joins the newest cells with the edges around them and ends when there are none;
-    rounds are checkpointed to ``spark.checkpoint.dir``, so lineage stays short and executors can
-    be lost.
+    Marked cells are linked with their neighbours, and a component with a strong cell burns: the
+    rounds of :func:`gridspark.operators.connect.components` grow with the logarithm of an edge's
+    length, not with its length.
     """
     start, end = start or (1, 1), end or sh.minus(edges.extent, (1, 1))
-    marked = _kept(edges.df.where("v <> 0"))
-    found = _kept(marked.where((F.col("v") == STRONG) & sh.inside_column((start, end), edges.index)).select("i0", "i1"))
-    front = found
-    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx])
-    while not front.isEmpty():
-        around = front.withColumn("d", F.explode(steps)).select((F.col("i0") + F.col("d.dy")).alias("i0"), (F.col("i1") + F.col("d.dx")).alias("i1")).distinct()
-        front = _kept(around.join(marked.select("i0", "i1"), ["i0", "i1"], "left_semi").join(found, ["i0", "i1"], "left_anti"))
-        found = _kept(found.union(front))
-    fired = found.withColumn("v", F.lit(STRONG))
+    rows = edges.df.where("v <> 0").select("i0", "i1", sh.linear_column(edges.extent, edges.index).alias("node"), ((F.col("v") == STRONG) & sh.inside_column((start, end), edges.index)).alias("strong"))
+    marked = connect.kept(rows)
+    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))])
+    near = marked.withColumn("d", F.explode(steps)).select(F.col("node").alias("u"), (F.col("i0") + F.col("d.dy")).alias("i0"), (F.col("i1") + F.col("d.dx")).alias("i1"))
+    links = near.join(marked.select("i0", "i1", F.col("node").alias("v")), ["i0", "i1"]).select("u", "v")
+    owned = marked.join(connect.components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    hot = owned.where("strong").select("root").distinct()
+    fired = owned.join(hot, "root", "left_semi").select("i0", "i1", F.lit(STRONG).alias("v"))
     return new_empty(edges.spark, edges.extent, "int").write(fired)
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or _local_folder(context.master))
-    return df.checkpoint()
-
-
-def _local_folder(master: str) -> str:
-    import tempfile
-
-    if not master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"file://{tempfile.gettempdir()}/gridspark-work"
-
-
 def canny(image: Grid, low: int = 50, high: int = 100) -> Grid:
     """Edges of a grid of (r, g, b) in 0..255: luminosity, blur, gradient, suppression, hysteresis."""
     grey = flow.zip_elems(lambda r, g, b: elem.to_byte(luminosity(r.cast("double"), g.cast("double"), b.cast("double"))).cast("int"), 3, image)
@@ -222,6 +206,6 @@ def motion(dt: float, steps: int, masses: Grid, positions: Grid, velocities: Gri
     for k in range(steps):
         positions, velocities = step(dt, masses, positions, velocities)
         if (k + 1) % keep_each == 0:
-            positions = Grid(_kept(positions.df), positions.extent)
-            velocities = Grid(_kept(velocities.df), velocities.extent)
+            positions = Grid(connect.kept(positions.df), positions.extent)
+            velocities = Grid(connect.kept(velocities.df), velocities.extent)
     return positions, velocities

@@ -3,10 +3,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridspark import shape as sh
+from gridspark.blocks import BlockGrid
 from gridspark.functions import elem, vector
 from gridspark.grid import Grid
 from gridspark.operators import flow, load, stencil, walk
-from gridspark.plans import recipes
+from gridspark.plans import planes, recipes
 from gridspark.sources import generate as gen
 from gridspark.sources import images
 
@@ -207,6 +208,60 @@ def test_wildfire(spark):
     assert got == [[0, 0, 0, 0, 0, 0], [0, 255, 255, 0, 0, 0], [0, 0, 0, 255, 0, 0], [0] * 6, [0] * 6, [0] * 6]
 
 
+def test_wildfire_along_a_spiral(spark):
+    """One strong cell at the end of an edge of some 2,000 cells, over cells and over bands."""
+    n = 66
+    m = np.zeros((n, n), int)
+    y, x, dy, dx, low, high = 1, 1, 0, 1, [1, 1], [n - 2, n - 2]
+    m[y, x] = 128
+    while True:
+        ny, nx = y + dy, x + dx
+        ahead = m[min(max(ny + dy, 0), n - 1), min(max(nx + dx, 0), n - 1)]
+        if not (1 <= ny <= n - 2 and 1 <= nx <= n - 2) or ahead or m[ny, nx]:
+            dy, dx = dx, -dy
+            ny, nx = y + dy, x + dx
+            ahead = m[min(max(ny + dy, 0), n - 1), min(max(nx + dx, 0), n - 1)]
+            if not (1 <= ny <= n - 2 and 1 <= nx <= n - 2) or ahead or m[ny, nx]:
+                break
+        y, x = ny, nx
+        m[y, x] = 128
+    m[y, x] = 255
+    assert (m > 0).sum() > 2000
+    g = gen.from_list(spark, (n, n), m.ravel().tolist(), "int")
+    want = np.where(m > 0, 255, 0)
+    assert (np.array(recipes.wildfire(g).to_list()).reshape(n, n) == want).all()
+    fired = planes.hysteresis(BlockGrid.of(g, lines=5))
+    assert (np.array(fired.cells().to_list()).reshape(n, n) == want).all()
+
+
+def test_hysteresis_of_random_marks(spark):
+    rng = np.random.default_rng(31)
+    for h, w, lines in ((23, 17, 4), (9, 30, 1), (5, 5, 9)):
+        m = rng.choice([0, 0, 128, 255], (h, w), p=[0.4, 0.25, 0.33, 0.02])
+        found, todo = set(), [(y, x) for y in range(1, h - 1) for x in range(1, w - 1) if m[y, x] == 255]
+        while todo:
+            y, x = todo.pop()
+            if (y, x) in found or not (0 <= y < h and 0 <= x < w) or not m[y, x]:
+                continue
+            found.add((y, x))
+            todo += [(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+        want = [255 if (y, x) in found else 0 for y in range(h) for x in range(w)]
+        g = gen.from_list(spark, (h, w), m.ravel().tolist(), "int")
+        assert planes.hysteresis(BlockGrid.of(g, lines=lines)).cells().to_list() == want
+        assert recipes.wildfire(g).to_list() == want
+
+
+def test_walks_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(walk, "BLOCK", 7)
+    monkeypatch.setattr(walk, "FAN", 3)
+    text = "".join(chr(97 + i * 7 % 26) for i in range(500))
+    g = gen.from_list(spark, 500, list(text), "string")
+    put = lambda a, b: F.concat(a, b)
+    assert walk.walk_p(put, F.lit(""), put, g).first()["r"] == text
+    assert walk.walk_p(put, F.lit(""), put, g, start=(33,), end=(402,)).first()["r"] == text[33:402]
+    assert walk.walk_p(put, F.lit(""), put, g, start=(5,), end=(5,)).first()["r"] == ""
+
+
 def test_equalize(spark):
     got = recipes.equalize(line(spark, [0.0, 0.5, 1.0, 1.0], "double")).to_list()
     assert np.allclose(got, [0.0, 1 / 3, 1.0, 1.0])
