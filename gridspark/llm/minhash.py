@@ -42,8 +42,8 @@ from .components import components
 PERMUTATIONS, ROWS = 48, 4
 #: Bytes of text that are hashed together.
 SECTION = 1 << 19
-#: Least and most cells of the sketch that orders shingles, as powers of two.
-CELLS = (18, 22)
+#: Least and most cells of the sketch that orders shingles, and cells that are added up together, as powers of two.
+CELLS, CHUNK = (18, 22), 14
 
 U = np.uint64
 _random = np.random.default_rng(20240229)
@@ -219,16 +219,25 @@ def sketch(nodes: DataFrame, size: int, shingles: int) -> np.ndarray:
         for batch in batches:
             for s in shingle_sets(words, batch.column(0), size):
                 np.add.at(counts, (s >> U(64 - bits)).astype(np.int64), 1)
-        hit = np.flatnonzero(counts)
-        for i in range(0, len(hit), 1 << 16):
-            some = hit[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["cell", "n"])
-
-    out = np.zeros(1 << bits, np.uint8)
-    level = F.floor(F.log2(F.sum("n").cast("double")) * 4).cast("int") + 1
-    got = nodes.select("text").mapInArrow(tidy(run), "cell int, n long").groupBy("cell").agg(level.cast("short").alias("level")).toArrow()
-    out[got["cell"].to_numpy()] = got["level"].to_numpy()
-    return out
+        for chunk, part in enumerate(counts.reshape(-1, 1 << CHUNK)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["chunk", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, n in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                got = np.frombuffer(n.as_buffer(), np.int64)
+                held[chunk] = held[chunk] + got if chunk in held else got
+        for chunk, n in held.items():
+            level = np.where(n > 0, np.floor(4 * np.log2(np.maximum(n, 1))) + 1, 0).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["chunk", "level"])
+
+    out = np.zeros((1 << (bits - CHUNK), 1 << CHUNK), np.uint8)
+    sums = nodes.select("text").mapInArrow(tidy(run), "chunk int, n binary").repartition("chunk").mapInArrow(add, "chunk int, level binary")
+    for chunk, level in sums.collect():
+        out[chunk] = np.frombuffer(level, np.uint8)
+    return out.ravel()
 
 
 def prefix_pairs(nodes: DataFrame, size: int, percent: int, shingles: int) -> tuple[DataFrame, DataFrame]:
