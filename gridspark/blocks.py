@@ -197,8 +197,9 @@ class BlockGrid:
 
         return BlockGrid(rows.mapInArrow(run, SCHEMA), self.extent, self.lines, out)
 
-    def convolve(self, stencils: Sequence[Stencil], f: Callable[..., np.ndarray] | None = None, kind: str = "float64") -> BlockGrid:
-        """The weighted sums of stencils, clamped at the border, put together by ``f``; their rims are exchanged once."""
+    @staticmethod
+    def sums(stencils: Sequence[Stencil], f: Callable[..., np.ndarray] | None = None, kind: str = "float64") -> tuple[int, int, Callable[[np.ndarray, int], np.ndarray]]:
+        """The rims and the work of :meth:`windows` for the weighted sums of stencils, clamped at the border."""
         if any(s.step is not None for s in stencils):
             raise ValueError("only weighted sums are taken over blocks")
         taps = [t for s in stencils for t, _ in s.taps] or [(0, 0)]
@@ -215,12 +216,45 @@ class BlockGrid:
                 total = np.zeros((h, w), kind)
                 step = np.empty((h, w), kind)
                 for dy, dx, c in plan:
-                    np.multiply(wide[dy : dy + h, dx : dx + w], c, out=step)
-                    total += step
+                    part = wide[dy : dy + h, dx : dx + w]
+                    if c in (1, -1):  # no product
+                        (np.add if c == 1 else np.subtract)(total, part, out=total)
+                    else:
+                        np.multiply(part, c, out=step)
+                        total += step
                 sums.append(total)
             return put(*sums)
 
-        return self.windows(above, below, work, kind)
+        return above, below, work
+
+    def convolve(self, stencils: Sequence[Stencil], f: Callable[..., np.ndarray] | None = None, kind: str = "float64") -> BlockGrid:
+        """The weighted sums of stencils, clamped at the border, put together by ``f``; their rims are exchanged once."""
+        return self.windows(*self.sums(stencils, f, kind), kind)
+
+    def chain(self, *stages: tuple[int, int, Callable[[np.ndarray, int], np.ndarray], str]) -> BlockGrid:
+        """Several :meth:`windows`, given as (above, below, f, kind), with one exchange of rims.
+
+        A band computes the lines of a stage that the next ones need itself. At every stage the
+        nearest line counts for lines beyond the plane. Bands shorter than all rims together take
+        the stages one by one.
+        """
+        above, below, h = sum(s[0] for s in stages), sum(s[1] for s in stages), self.extent[0]
+        if self.make is None and max(above, below) > self.lines:
+            out = self
+            for stage in stages:
+                out = out.windows(*stage)
+            return out
+
+        def work(m: np.ndarray, y: int) -> np.ndarray:
+            first = y - above
+            for more, _, f, kind in stages:
+                first += more
+                m = f(m, first).astype(kind, copy=False)
+                if first < 0 or first + len(m) > h:
+                    m = m[np.clip(np.arange(first, first + len(m)), 0, h - 1) - first]
+            return m
+
+        return self.windows(above, below, work, stages[-1][3])
 
     def fold(self, each: Callable[[np.ndarray, int], np.ndarray], join: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
         """A parallel walk: ``each(band, first line)`` gives a state, ``join`` merges them; one state a task reaches the driver."""

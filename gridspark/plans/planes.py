@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,10 @@ def blur(plane: BlockGrid) -> BlockGrid:
     return plane.convolve([stencil.dim2(BLUR)], lambda s: s / BLUR_SUM)
 
 
-def blur_separable(plane: BlockGrid) -> BlockGrid:
-    """1-4-6-4-1 along lines and across them, in one exchange of rims."""
+Stage = tuple[int, int, Callable[[np.ndarray, int], np.ndarray], str]
+
+
+def _blurred() -> Stage:
     row = [int(x) for x in BINOMIAL.split()]
 
     def work(m: np.ndarray, y: int) -> np.ndarray:
@@ -38,12 +40,10 @@ def blur_separable(plane: BlockGrid) -> BlockGrid:
         along = sum(c * wide[:, k : k + w] for k, c in enumerate(row))
         return sum(c * along[k : k + h] for k, c in enumerate(row)) / 256.0
 
-    return plane.windows(2, 2, work, "float64")
+    return 2, 2, work, "float64"
 
 
-def gradient(plane: BlockGrid, low: int) -> BlockGrid:
-    """Size and direction as one number a cell, ``mag * 256 + orient``."""
-
+def _turned(low: int) -> Stage:
     def put(gx: np.ndarray, gy: np.ndarray) -> np.ndarray:
         mag = np.sqrt(gx * gx + gy * gy).astype(np.int64) & 255
         flat = gx == 0
@@ -55,13 +55,11 @@ def gradient(plane: BlockGrid, low: int) -> BlockGrid:
         orient = np.where(flat, np.where(gy < 0, NEG_DIAG, POS_DIAG), np.where(turn < 0.33, HORIZ, np.where(turn > 0.66, VERT, slanted)))
         return mag * 256 + np.where(mag < low, NO_ORIENT, orient)
 
-    got = plane.convolve([stencil.dim2(SOBEL_X), stencil.dim2(SOBEL_Y)], put)
-    return got.map(lambda m: m, kind="int32")
+    return *BlockGrid.sums([stencil.dim2(SOBEL_X), stencil.dim2(SOBEL_Y)], put), "int32"
 
 
-def suppress(packed: BlockGrid, high: int) -> BlockGrid:
-    """Weak and strong edges of :func:`gradient`; the rim stays 0."""
-    h, w = packed.extent
+def _peaks(extent: tuple[int, int], high: int) -> Stage:
+    h, w = extent
 
     def work(m: np.ndarray, y: int) -> np.ndarray:
         mag, orient = m // 256, m[1:-1] % 256
@@ -76,12 +74,27 @@ def suppress(packed: BlockGrid, high: int) -> BlockGrid:
         best[(lines == 0) | (lines == h - 1)] = False
         return np.where(best, np.where(here < high, WEAK, STRONG), NO_EDGE)
 
-    return packed.windows(1, 1, work, "int16")
+    return 1, 1, work, "int16"
+
+
+def blur_separable(plane: BlockGrid) -> BlockGrid:
+    """1-4-6-4-1 along lines and across them, in one exchange of rims."""
+    return plane.windows(*_blurred())
+
+
+def gradient(plane: BlockGrid, low: int) -> BlockGrid:
+    """Size and direction as one number a cell, ``mag * 256 + orient``."""
+    return plane.windows(*_turned(low))
+
+
+def suppress(packed: BlockGrid, high: int) -> BlockGrid:
+    """Weak and strong edges of :func:`gradient`; the rim stays 0."""
+    return packed.windows(*_peaks(packed.extent, high))
 
 
 def edges(red: BlockGrid, green: BlockGrid, blue: BlockGrid, low: int = 50, high: int = 100) -> BlockGrid:
-    """Weak and strong edges of an image."""
-    return suppress(gradient(blur_separable(luminosity(red, green, blue)), low), high)
+    """Weak and strong edges of an image: blur, gradient and suppression in one exchange of rims."""
+    return luminosity(red, green, blue).chain(_blurred(), _turned(low), _peaks(red.extent, high))
 
 
 def labels(m: np.ndarray) -> np.ndarray:
@@ -116,14 +129,15 @@ def labels(m: np.ndarray) -> np.ndarray:
     return out.reshape(h, w)
 
 
-def hysteresis(marks: BlockGrid) -> BlockGrid:
-    """255 for marked cells that are 8-connected to a strong one within the rim, 0 elsewhere.
+def hysteresis(marks: BlockGrid, start: tuple[int, int] | None = None, end: tuple[int, int] | None = None) -> BlockGrid:
+    """255 for marked cells that are 8-connected to a strong one of a range (by default within the rim), 0 elsewhere.
 
     Each band labels its own cells; labels that meet where two bands touch are linked, and the
     components of these links, a table of labels on rims, tell which labels burn. Only rims and
     labels on them are exchanged.
     """
     (h, w), lines, kind = marks.extent, marks.lines, marks.kind
+    (top, left), (bottom, right) = start or (1, 1), end or (h - 1, w - 1)
     marks = BlockGrid(connect.kept(marks.df), marks.extent, lines, kind)  # read twice
 
     def read(band: int, data: pa.BinaryScalar) -> tuple[np.ndarray, np.ndarray]:
@@ -131,9 +145,9 @@ def hysteresis(marks: BlockGrid) -> BlockGrid:
         m = np.frombuffer(data.as_buffer(), kind).reshape(-1, w)
         of = labels(m)
         strong = m == STRONG
-        strong[:, [0, -1]] = False
-        y = band * lines + np.arange(len(m))
-        strong[(y == 0) | (y == h - 1)] = False
+        x, y = np.arange(w), band * lines + np.arange(len(m))
+        strong[:, (x < left) | (x >= right)] = False
+        strong[(y < top) | (y >= bottom)] = False
         return of, np.unique(of[strong])
 
     def rims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

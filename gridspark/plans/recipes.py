@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import shape as sh
+from ..blocks import BlockGrid
 from ..functions import elem, vector
 from ..grid import Grid
 from ..operators import connect, flow, stencil, walk
-from ..sources.generate import new_empty
 
 # Kernels, orientation and edge marks, colour weights, constants of motion.
 BLUR = "2 4 5 4 2 | 4 9 12 9 4 | 5 12 15 12 5 | 4 9 12 9 4 | 2 4 5 4 2"
@@ -122,20 +122,13 @@ def suppress(g: Grid, high: int) -> Grid:
 def wildfire(edges: Grid, start: sh.Shape | None = None, end: sh.Shape | None = None) -> Grid:
     """255 for cells with an edge that are 8-connected to a strong one (by default within the rim), 0 elsewhere.
 
-    Marked cells are linked with their neighbours, and a component with a strong cell burns: the
-    rounds of :func:`gridspark.operators.connect.components` grow with the logarithm of an edge's
-    length, not with its length.
+    The grid is packed into bands of lines, which label their own cells; only labels on rims are
+    linked (:func:`gridspark.plans.planes.hysteresis`).
     """
-    start, end = start or (1, 1), end or sh.minus(edges.extent, (1, 1))
-    rows = edges.df.where("v <> 0").select("i0", "i1", sh.linear_column(edges.extent, edges.index).alias("node"), ((F.col("v") == STRONG) & sh.inside_column((start, end), edges.index)).alias("strong"))
-    marked = connect.kept(rows)
-    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))])
-    near = marked.withColumn("d", F.explode(steps)).select(F.col("node").alias("u"), (F.col("i0") + F.col("d.dy")).alias("i0"), (F.col("i1") + F.col("d.dx")).alias("i1"))
-    links = near.join(marked.select("i0", "i1", F.col("node").alias("v")), ["i0", "i1"]).select("u", "v")
-    owned = marked.join(connect.components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    hot = owned.where("strong").select("root").distinct()
-    fired = owned.join(hot, "root", "left_semi").select("i0", "i1", F.lit(STRONG).alias("v"))
-    return new_empty(edges.spark, edges.extent, "int").write(fired)
+    from .planes import hysteresis
+
+    fired = hysteresis(BlockGrid.of(edges, "int16"), start, end).cells()
+    return Grid(fired.df.select("i0", "i1", F.col("v").cast("int").alias("v")), edges.extent)
 
 
 def canny(image: Grid, low: int = 50, high: int = 100) -> Grid:

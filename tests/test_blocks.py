@@ -75,3 +75,17 @@ def test_pipelines_match_the_cell_form(spark):
     assert np.allclose(matrix(planes.equalize(BlockGrid.of(level, lines=4))).ravel(), recipes.equalize(level).to_list())
     assert np.allclose(matrix(planes.blur(channels[0])).ravel(), recipes.blur(image.slices(3)[0]).to_list())
     assert np.allclose(matrix(planes.contrast(BlockGrid.of(level, lines=4), 0.5)).ravel(), flow.dmap(lambda v: recipes.contrast(0.5, v), level).to_list())
+
+
+@pytest.mark.parametrize("height", [1, 5, 9, 13])
+def test_chains_match_separate_windows(spark, height):
+    extent, text = (height, 6), ["1 2 | 3 4 | 5 6", recipes.BLUR, "0 1 0 | 0 0 2 | 3 0 0"]
+    made = BlockGrid.generate(spark, extent, make, lines=4)
+    want = make(np.arange(height)[:, None], np.arange(6)[None, :])
+    for t in text:
+        want = clamped(want, [[int(v) for v in row.split()] for row in t.split("|")])
+    for lines in (2, 4, 5):  # the first is shorter than the rims
+        made = BlockGrid.generate(spark, extent, make, lines=lines)
+        for plane in (made, BlockGrid(made.df, extent, lines)):
+            got = plane.chain(*[(*BlockGrid.sums([stencil.dim2(t)]), "float64") for t in text])
+            assert matrix(got).tolist() == want.tolist()
