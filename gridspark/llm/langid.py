@@ -32,6 +32,8 @@ from .common import tune
 
 #: Bounds of the fit: documents a language, characters of each, and the cuts that these come from. Languages are the label's values.
 DOCS, PIECE, CUTS = 128, 1024, 8
+#: Groups of partitions whose smallest hashes are found first.
+FAN = 16
 #: Bytes of text that are compressed at once.
 BLOCK, LEVEL = 4096, 3
 #: A margin between the two smallest sizes, relative to the smaller, below which a prediction is rejected.
@@ -55,11 +57,13 @@ def fold(id_col: str, n: int) -> Column:
 def dictionaries(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[bytes, float]]:
     """Each language's dictionary and share of the training documents; at most ``DOCS * PIECE`` characters a language reach the driver."""
     rows = df.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0))
-    order = Window.partitionBy("lang").orderBy("h")
+    first_of = lambda df, *by: df.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("k") <= DOCS)
     text = F.col(text_col).cast("string")
     key = [F.col(lang_col).alias("lang"), F.xxhash64(text, F.lit(7)).alias("h")]
-    # Only hashes are exchanged; texts are cut where they are read.
-    best = rows.select(*key).distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= DOCS)
+    # Only hashes are exchanged; texts are cut where they are read. The smallest are found in a tree, of
+    # groups of partitions and then of languages, so no task reads every partition's; any grouping gives the same.
+    some = first_of(rows.select(*key).distinct().withColumn("part", F.spark_partition_id() % FAN), "lang", "part")
+    best = first_of(some.select("lang", "h"), "lang")
     size = PIECE // CUTS - 1
     first = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1000)) / 1000.0
     cuts = [F.substring("text", ((first + i) * (F.length("text") - size) / CUTS).cast("int") + 1, F.lit(size)) for i in range(CUTS)]
