@@ -31,6 +31,9 @@ BATCH_ROWS, BATCH_BYTES = 2500, 8 << 20
 #: Rows and bytes of text that a Python worker works on together.
 PART_ROWS, PART_BYTES = 2500, 2 << 20
 
+#: A key is hot that holds more than this part of all rows, so at most ``HOT`` keys are; and rows of a key below which it never is.
+HOT, COOL = 10_000, 256
+
 #: Rows of ids that are broadcast rather than have all texts shuffled to them.
 LIGHT = 1_000_000
 
@@ -140,6 +143,22 @@ def light(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= LIGHT else ids
 
 
+def salted(rows: DataFrame, side: DataFrame, key: list[str], by: str, counts: DataFrame, n: str) -> DataFrame:
+    """``rows`` joined with ``side``, a row a key; a hot key's rows are dealt out by a hash of ``by``, and its row of ``side`` is copied to each part.
+
+    ``counts`` (key, n) tells how many rows each key has and is read twice, so it should be a written
+    table. A part holds about a ``HOT``-th of all rows: at most ``HOT`` keys are hot, which bounds the
+    broadcast, and they have at most twice as many parts together.
+    """
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    grain = max(-(-total // HOT), COOL)
+    hot = F.broadcast(counts.where(F.col(n) > grain).select(*key, F.ceil(F.col(n) / grain).cast("int").alias("__parts")))
+    most = F.coalesce("__parts", F.lit(1))
+    dealt = rows.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(by), most).cast("int")).drop("__parts")
+    copied = side.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), most - 1))).drop("__parts")
+    return dealt.join(copied, [*key, "__salt"]).drop("__salt")
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is evaluated once a row."""
     return F.element_at(F.transform(F.array(value), use), 1)

@@ -8,7 +8,8 @@ points in the original text, then the smallest id. A task's rows come sorted by
 so a subtree is complete when the next one begins: the trie is emitted and emptied there once it
 holds ``BUDGET`` bytes, and Spark's sort does the spilling. Memory holds one budget's worth of
 distinct texts whatever the sizes of groups. Nodes refer to the texts they were cut from, so a
-text is held once.
+text is held once. The owners, a short row a text, are a written table; rows find theirs by a
+join in which a text with many copies is dealt out over many tasks.
 
 Defined results: a null text counts as empty, and empty and blank texts are copies of each
 other. Equal rows (even with one id) are rows of one group and each counts. A null id is larger
@@ -28,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, parts, tidy, tune
+from .common import WS, parts, salted, tidy, tune, written
 
 #: Bytes that a trie holds before finished subtrees leave it, and what a text takes besides its own bytes.
 BUDGET, ENTRY = 32 << 20, 500
@@ -182,16 +183,17 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     Where several rows of a group share the id that stays, all of them are marked kept.
     """
     slim = keys(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text").select("doc_id", "text_sha256")
-    return slim.join(owners(df, id_col, text_col), "text_sha256").select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
+    own = written(owners(df, id_col, text_col), "owners")
+    return salted(slim, own, ["text_sha256"], "doc_id", own, "group_size").select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, that stay: one a group; ties as above."""
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     text = F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))
-    tagged = keys(df.select(row.alias("row"), F.col(f"`{text_col}`").alias("text")), "", "text").select("row", F.col("text_sha256").alias("sha"))
-    own = owners(df, id_col, text_col).select(F.col("text_sha256").alias("sha"), "keep_id", "keep_points")
-    same = tagged.join(own, "sha").where(F.col(f"row.`{id_col}`").eqNullSafe(F.col("keep_id")) & (F.char_length(text) == F.col("keep_points")))
+    tagged = keys(df.select(row.alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text").select("row", "id", F.col("text_sha256").alias("sha"))
+    own = written(owners(df, id_col, text_col).withColumnRenamed("text_sha256", "sha"), "owners")
+    same = salted(tagged, own, ["sha"], "id", own, "group_size").where(F.col(f"row.`{id_col}`").eqNullSafe(F.col("keep_id")) & (F.char_length(text) == F.col("keep_points")))
     rest = F.to_json(F.struct(F.lit(0), *[F.col(f"row.`{c}`") for c in df.columns if c != text_col]))
     best = same.groupBy("sha").agg(F.min_by("row", F.struct(F.md5(text.cast("binary")), rest)).alias("row"))
     return best.select("row.*")

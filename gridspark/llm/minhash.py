@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import light, parts, release, tidy, tune, written
+from .common import light, parts, release, salted, tidy, tune, written
 from .components import components
 
 PERMUTATIONS, ROWS = 48, 4
@@ -189,7 +189,8 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     need = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
     some = texts.join(light(need), "id", "left_semi")
     one = pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = one.join(some.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    degrees = written(pairs.groupBy("b").count(), "degrees")
+    both = salted(one, some.select(F.col("id").alias("b"), F.col("text").alias("text_b")), ["b"], "a", degrees, "count").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen, b_set = Words(), None, None
@@ -206,7 +207,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
     links = written(both.mapInArrow(tidy(run), "a long, b long").distinct(), "links")
-    release(need)
+    release(need, degrees)
     return links
 
 
@@ -281,7 +282,7 @@ def near_duplicates(df: DataFrame, size: int = 3, percent: int = 85, id_col: str
     tune(df.sparkSession)
     signed = written(signatures(df, size, id_col, text_col), "signatures")
     full = signed.where("n > 0 and id is not null")
-    classes = written(full.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    classes = written(full.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies")), "classes")
     rows = classes.select("node", "n", F.explode("bands").alias("bucket"))
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -307,7 +308,7 @@ def near_duplicates(df: DataFrame, size: int = 3, percent: int = 85, id_col: str
     final = components(links)
     release(links)
     named = classes.select("h1", "h2", "node").join(final, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
-    known = full.select("id", "n", "h1", "h2").join(named, ["h1", "h2"]).select("id", "n", "component")
+    known = salted(full.select("id", "n", "h1", "h2"), named, ["h1", "h2"], "id", classes, "copies").select("id", "n", "component")
     alone = signed.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
     out = known.union(alone)
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.expr("id <=> component").alias("kept"))

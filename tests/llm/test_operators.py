@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridspark.llm import bpe, exact_dedup, langid, license_scan, minhash, mixing, quality_model, quality_rules, secret_scan, wavelet
+from gridspark.llm import bpe, common, exact_dedup, langid, license_scan, minhash, mixing, quality_model, quality_rules, secret_scan, wavelet
 from gridspark.llm.components import components
 from gridspark.llm.queries import tokenizer
 
@@ -603,6 +603,35 @@ def test_trie_spills_by_subtree(spark, monkeypatch):
     assert rows(exact_dedup.dedup(some(spark, pairs))) == sorted(brute.exact(pairs), key=repr)
 
 
+# Hot keys
+
+
+def test_hot_keys_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 20)
+    monkeypatch.setattr(common, "COOL", 3)
+    left = spark.createDataFrame([(i, 0 if i % 3 else i) for i in range(300)] + [(None, 0), (None, 0), (7, 10**6)], "i bigint, k bigint")
+    side = left.where("k < 1000").groupBy("k").agg(F.count("*").alias("n"))
+    got = common.salted(left, side, ["k"], "i", side, "n")
+    assert rows(got, "i", "k", "n") == rows(left.join(side, "k"), "i", "k", "n")
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "__salt" in text and "broadcast" in text
+    nothing = left.where("false")
+    assert common.salted(nothing, side.where("false"), ["k"], "i", side.where("false"), "n").count() == 0
+
+
+def test_hot_groups_give_the_same_results(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 20)
+    monkeypatch.setattr(common, "COOL", 2)
+    rng = random.Random(5)
+    base = "one text that stands very often among all rows of the table"
+    pairs = [(i, base + " " * (i % 3)) for i in range(200)] + [(1000 + i, t) for i, t in enumerate(family(rng, 60, 80, 1) * 2)] + [(None, base), (3, base), (3, None)]
+    assert rows(exact_dedup.dedup(some(spark, pairs))) == sorted(brute.exact(pairs), key=repr)
+    assert exact_dedup.keep_one(some(spark, pairs)).count() == len({k for _, k, *_ in brute.exact(pairs)})
+    plain = [(i, t) for i, t in pairs if i is not None and i != 3]
+    want = sorted(((i, n, c, c == i) for i, (n, c) in brute.components(plain, 3, 85).items()), key=repr)
+    assert rows(minhash.near_duplicates(some(spark, plain))) == want
+
+
 # Odd rows: null ids, repeated rows, ties, very long texts, clashing names
 
 
