@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import shape as sh
@@ -17,6 +17,9 @@ from ..sources.generate import cells
 
 Fn = Callable[..., Column]
 
+#: Cells of the second array, and pairs, that a task of a large product goes over.
+TILE, PAIRS = 128, 1 << 24
+
 
 def dmap(f: Fn, g: Grid) -> Grid:
     """``f`` of each element; composes into the projection, no job and no copy."""
@@ -76,11 +79,20 @@ def cart_product2(f: Fn, a: Grid, b: Grid) -> Grid:
 
 
 def icart_product2(f: Fn, a: Grid, b: Grid) -> Grid:
-    """:func:`cart_product2` with the indices first."""
+    """:func:`cart_product2` with the indices first.
+
+    A product of more than ``PAIRS`` is dealt out in tiles, a task each, whatever files its arrays
+    come from. A tile's cells are neighbours by value, and it goes over the same few of ``b`` for
+    each of ``a``: the pairs are the same, but files of them repeat themselves and pack better.
+    """
     _only_rank_one(a, b)
     left, x = a.own()
     right, y = b.own()
-    both = left.crossJoin(right.withColumnRenamed("i0", "i1"))
+    right = right.withColumnRenamed("i0", "i1")
+    if a.extent[0] * b.extent[0] > PAIRS:
+        left = _dealt(left, -(-a.extent[0] * TILE // PAIRS), x, "i0")
+        right = _dealt(right, -(-b.extent[0] // TILE), y, "i1").hint("shuffle_replicate_nl")
+    both = left.crossJoin(right)
     return Grid(both, (*a.extent, *b.extent), f(F.col("i0"), F.col("i1"), F.col(x), F.col(y)))
 
 
@@ -99,6 +111,12 @@ def icart_product3(f: Fn, a: Grid, b: Grid, c: Grid) -> Grid:
     return Grid(both, (*a.extent, *b.extent, *c.extent), f(*[F.col(n) for n in ("i0", "i1", "i2", x, y, z)]))
 
 
+def _dealt(rows: DataFrame, n: int, value: str, index: str) -> DataFrame:
+    """The rows in ``n`` parts of about one size, by value where values have an order."""
+    kind = rows.schema[value].dataType.simpleString()
+    return rows.repartitionByRange(n, *[value] * ("map<" not in kind and "variant" not in kind), index)
+
+
 def _only_rank_one(*grids: Grid) -> None:
     if any(g.rank != 1 for g in grids):
         raise ValueError("products take grids of rank one")

@@ -66,6 +66,23 @@ def test_products(spark):
         flow.cart_product2(lambda a, b: a, table(spark, [[1]]), line(spark, [1]))
 
 
+def test_large_products_are_dealt_out(spark, monkeypatch):
+    n = 4200
+    g = Grid(spark.range(n, numPartitions=1).select(F.col("id").alias("i0"), (F.col("id") % 70 * 7919 % 1009 - 500).alias("v")), n)
+    rows = flow.cart_product2(lambda a, b: a * b, g, g.settled()).df
+    assert rows.rdd.getNumPartitions() > 8
+    got = rows.agg(F.count("*"), F.countDistinct("i0"), F.sum(F.col("v") * (F.col("i0") + 3 * F.col("i1")))).first()
+    i = np.arange(n)
+    v = i % 70 * 7919 % 1009 - 500
+    assert tuple(got) == (n * n, n, 4 * int((i * v).sum()) * int(v.sum()))
+    monkeypatch.setattr(flow, "PAIRS", 8)
+    monkeypatch.setattr(flow, "TILE", 2)
+    small = flow.icart_product2(lambda i, j, a, b: i + 10 * j + F.coalesce(a * b, F.lit(-1)), line(spark, [4, None, 4, 5]), line(spark, [1, 2, 3]))
+    assert back(small).tolist() == [[i + 10 * j + (x * y if x else -1) for j, y in enumerate([1, 2, 3])] for i, x in enumerate([4, None, 4, 5])]
+    maps = flow.dmap(lambda x: F.create_map(F.lit("k"), x), line(spark, [1, 2, 3, 4]))
+    assert back(flow.cart_product2(lambda a, b: a["k"] * b, maps, line(spark, [10, 20, 30]))).tolist() == [[x * y for y in (10, 20, 30)] for x in (1, 2, 3, 4)]
+
+
 def test_folds_are_ordered(spark):
     g, zero = line(spark, [1, 2, 3]), F.lit(0).cast("bigint")
     assert walk.reduce_l(lambda a, x: a * 10 + x, zero, g).first()[0] == 123
