@@ -89,9 +89,10 @@ def vec(s: SparkSession, d: str) -> Grid:
 
 
 def em(s: SparkSession, d: str) -> Grid:
+    """Thousandths of the embeddings. The product is one of floats, as in SQL: a double's floor may be one less or more."""
     rows = _table(s, d, "embeddings")
     g = gen.from_packed(rows, (rows.count(), 64), [F.col("vec_id")], F.col("embedding"))
-    return flow.dmap(lambda v: F.floor(v.cast("double") * 1000).cast("long"), g)
+    return flow.dmap(lambda v: F.floor(v * F.lit(1000).cast("float")).cast("long"), g)
 
 
 def qd(s: SparkSession, d: str) -> Grid:
