@@ -89,8 +89,13 @@ def counted(df: DataFrame, extent: int | Sequence[int], index: Sequence[Column])
 
 
 def from_packed(df: DataFrame, extent: int | Sequence[int], index: Sequence[Column], values: Column) -> Grid:
-    """A table whose rows hold the innermost axis as an array."""
+    """A table whose rows hold the innermost axis as an array.
+
+    A row has as many cells as the extent says: those beyond the end of its array, or without one, are NULL.
+    """
     ext = sh.shape(extent)
+    filled = F.transform(F.array_repeat(F.lit(0), ext[-1]), lambda _, k: F.get(values, k))
+    values = F.when(F.size(values) == ext[-1], values).otherwise(filled)
     names = [f"i{k}" for k in range(len(ext) - 1)]
     last = f"i{len(ext) - 1}"
     rows = df.select(*[c.cast("long").alias(n) for c, n in zip(index, names, strict=True)], F.posexplode(values).alias(last, "v"))

@@ -4,8 +4,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from gridspark.sources import generate as gen
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -29,3 +31,21 @@ def same_as_sql(spark, d, name, table="embeddings"):
 
 def test_embedding_norms_round_as_floats(spark, close):
     same_as_sql(spark, close, "grid_embedding_norms")
+
+
+@pytest.fixture
+def uneven(spark, tmp_path):
+    """Embeddings that are missing, empty, too short, too long, or have a missing element."""
+    rows = [(0, [0.5] * 64), (1, None), (2, []), (3, [0.25] * 63), (4, [0.125] * 70), (5, [0.75] * 9 + [None] + [0.75] * 54)]
+    spark.createDataFrame([(k, v, 0) for k, v in rows], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("rows", ["close", "uneven"])
+def test_from_packed_is_its_sql(spark, request, rows):
+    same_as_sql(spark, request.getfixturevalue(rows), "grid_from_packed")
+
+
+def test_packed_lines_of_no_cells(spark):
+    rows = spark.createDataFrame([(0, []), (1, [1])], "k bigint, vs array<bigint>")
+    assert gen.from_packed(rows, (2, 0), [F.col("k")], F.col("vs")).to_list() == []
