@@ -49,3 +49,8 @@ def test_from_packed_is_its_sql(spark, request, rows):
 def test_packed_lines_of_no_cells(spark):
     rows = spark.createDataFrame([(0, []), (1, [1])], "k bigint, vs array<bigint>")
     assert gen.from_packed(rows, (2, 0), [F.col("k")], F.col("vs")).to_list() == []
+
+
+@pytest.mark.parametrize("rows", ["close", "uneven"])
+def test_ireduce_inner_is_its_sql(spark, request, rows):
+    same_as_sql(spark, request.getfixturevalue(rows), "grid_ireduce_inner")
