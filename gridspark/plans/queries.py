@@ -165,7 +165,8 @@ def from_packed(s, d):
 @query("SELECT i0, CAST(sum(v * (i1 + 1)) AS BIGINT) AS v FROM em GROUP BY i0")
 def packed_rows(s, d):
     rows = gen.packed(em(s, d))
-    return rows.select("i0", F.aggregate(F.transform("vs", lambda v, k: v * (k + 1)), F.lit(0).cast("long"), lambda a, v: a + v).alias("v"))
+    terms = F.filter(F.transform("vs", lambda v, k: v * (k + 1)), F.isnotnull)
+    return rows.select("i0", F.when(F.size(terms) > 0, F.aggregate(terms, F.lit(0).cast("long"), lambda a, v: a + v)).alias("v"))
 
 
 @query("SELECT i0, v AS c0, i0 AS c1, 2 * v AS c2 FROM ev")

@@ -54,3 +54,8 @@ def test_packed_lines_of_no_cells(spark):
 @pytest.mark.parametrize("rows", ["close", "uneven"])
 def test_ireduce_inner_is_its_sql(spark, request, rows):
     same_as_sql(spark, request.getfixturevalue(rows), "grid_ireduce_inner")
+
+
+@pytest.mark.parametrize("rows", ["close", "uneven"])
+def test_packed_rows_are_its_sql(spark, request, rows):
+    same_as_sql(spark, request.getfixturevalue(rows), "grid_packed_rows")
