@@ -59,3 +59,8 @@ def test_ireduce_inner_is_its_sql(spark, request, rows):
 @pytest.mark.parametrize("rows", ["close", "uneven"])
 def test_packed_rows_are_its_sql(spark, request, rows):
     same_as_sql(spark, request.getfixturevalue(rows), "grid_packed_rows")
+
+
+@pytest.mark.parametrize("rows", ["close", "uneven"])
+def test_reduce_inner_is_its_sql(spark, request, rows):
+    same_as_sql(spark, request.getfixturevalue(rows), "grid_reduce_inner")
