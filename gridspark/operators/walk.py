@@ -157,6 +157,16 @@ def scan(g: Grid) -> Grid:
 BAND = 1 << 16
 
 
+def wide_sum(v: Column) -> Column:
+    """The sum of whole numbers of which parts may pass 64 bits; only a whole sum that does is an overflow.
+
+    High and low halves are summed apart, which holds for up to 2^31 values.
+    """
+    low = F.lit(0xFFFFFFFF)
+    hi, lo = F.sum(F.shiftright(v, 32)), F.sum(v.bitwiseAND(low))
+    return (hi + F.shiftright(lo, 32)) * F.lit(1 << 32) + lo.bitwiseAND(low)
+
+
 def reduce_inner(agg: Callable[[Column], Column], g: Grid) -> Grid:
     """Reduces the innermost axis with an aggregate of ``v`` (and the index columns).
 

@@ -442,7 +442,7 @@ def reduce_inner_dim3(s, d):
 
 @query("SELECT i0, CAST(sum(v * (i1 + 1)) AS BIGINT) AS v FROM em GROUP BY i0")
 def ireduce_inner(s, d):
-    return walk.ireduce_inner(lambda v: F.sum(v * (F.col("i1") + 1)), em(s, d)).df
+    return walk.ireduce_inner(lambda v: walk.wide_sum(v * (F.col("i1") + 1)), em(s, d)).df
 
 
 @query("SELECT i0, list_reduce(list(v ORDER BY i1), lambda a, x: (a * 31 + x) % 1000003, i0) AS v FROM qd GROUP BY i0")

@@ -64,3 +64,16 @@ def test_packed_rows_are_its_sql(spark, request, rows):
 @pytest.mark.parametrize("rows", ["close", "uneven"])
 def test_reduce_inner_is_its_sql(spark, request, rows):
     same_as_sql(spark, request.getfixturevalue(rows), "grid_reduce_inner")
+
+
+@pytest.fixture
+def wide(spark, tmp_path):
+    """Embeddings with sums that fit 64 bits, of which parts do not; one line has no value, one an ordinary sum."""
+    high = [9e15, 4.5e15, -3e15, -2.25e15]
+    rows = [high + [0.0] * 60, [-x for x in high] + [0.001] * 60, [-0.5] * 64, [None] * 64]
+    spark.createDataFrame([(k, v, 0) for k, v in enumerate(rows)], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    return str(tmp_path)
+
+
+def test_ireduce_inner_of_parts_beyond_64_bits(spark, wide):
+    same_as_sql(spark, wide, "grid_ireduce_inner")
