@@ -432,7 +432,7 @@ def imutate(s, d):
 
 @query("SELECT i0, CAST(sum(v) AS BIGINT) AS v FROM em GROUP BY i0")
 def reduce_inner(s, d):
-    return walk.reduce_inner(F.sum, em(s, d)).df
+    return walk.reduce_inner(walk.wide_sum, em(s, d)).df
 
 
 @query("SELECT i0, i1, max(v) AS v FROM tdh GROUP BY i0, i1")

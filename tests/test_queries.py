@@ -77,3 +77,7 @@ def wide(spark, tmp_path):
 
 def test_ireduce_inner_of_parts_beyond_64_bits(spark, wide):
     same_as_sql(spark, wide, "grid_ireduce_inner")
+
+
+def test_reduce_inner_of_parts_beyond_64_bits(spark, wide):
+    same_as_sql(spark, wide, "grid_reduce_inner")
